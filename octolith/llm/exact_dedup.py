@@ -54,7 +54,7 @@ def _merge_runs(keep: str):
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.table(b)
+            t = pa.Table.from_arrays(b.columns, names=b.schema.names)  # without the batch's own nullability
             m = _merged(pa.concat_tables([pa.table(open_), t]) if open_ is not None else t, keep)
             open_ = m.slice(m.num_rows - 1)
             if m.num_rows > 1:
