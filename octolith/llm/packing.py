@@ -32,8 +32,8 @@ from octolith.llm.common import text_slices, texts_only, written
 CAPACITY, END = 4096, 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
 OUT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-#: Words whose ids a worker remembers; beyond, it forgets all and starts anew.
-REMEMBERED = 400_000
+#: Words, and pre-tokens of words, whose ids a worker remembers; beyond, it forgets them and starts anew.
+REMEMBERED = 500_000
 
 
 @lru_cache(maxsize=1)
@@ -46,36 +46,48 @@ def _tokenizer(path: str):
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    Texts of ASCII and Latin-1 letters are cut into the tokenizer's own pre-tokens here, whose ids don't depend
-    on what stands around them and are remembered; any other text goes to the tokenizer whole.
+    No pre-token of this vocabulary's tokenizer spans white space, so the ids of a text of ASCII and Latin-1
+    letters are those of its words, which are remembered; a new word is cut into pre-tokens here and only the
+    merges are left to the tokenizer. Any other text goes to the tokenizer whole.
     """
 
-    #: Characters for which normalising is lower-casing and every pre-token is as in WORD.
-    OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff]|<\\|")
-    WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\\u00df-\\u00f6\\u00f8-\\u00ff]+|[0-9]|[^\\sa-z0-9\\u00df-\\u00f6\\u00f8-\\u00ff]+")
+    #: Characters (in Latin-1) for which normalising is lower-casing and every pre-token is as in PRE.
+    PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+    PRE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | list[str]] = []
-        new: dict[str, None] = {}
-        for t in texts:
-            if self.OTHER.search(t):
-                out.append(self._encode([t])[0])
-            else:
-                words = self.WORD.findall(t.lower())
-                out.append(words)
-                new |= dict.fromkeys(w for w in words if w not in self.known)
-        if len(self.known) + len(new) > REMEMBERED:
+        self.tokens: dict[str, bytes] = {}
+        # A byte is a printable character to the merges: itself, or 256 and up by turn.
+        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in own]
+        self.shown = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def plain(self, text: str) -> bool:
+        try:
+            return not text.encode("latin-1").translate(None, self.PLAIN) and "<|" not in text
+        except UnicodeEncodeError:
+            return False
+
+    def token(self, pre: str) -> bytes:
+        ids = self.tokens.get(pre)
+        if ids is None:
+            shown = pre.encode().decode("latin-1").translate(self.shown)
+            ids = self.tokens[pre] = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown))
+        return ids
+
+    def of(self, text: str) -> bytes:
+        if not self.plain(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        words = text.lower().split()
+        if len(self.known) > REMEMBERED:
             self.known = {}
-            new = dict.fromkeys(w for words in out if isinstance(words, list) for w in words)
-        self.known.update(zip(new, self._encode(list(new))))
-        return [x if isinstance(x, bytes) else b"".join(map(self.known.__getitem__, x)) for x in out]
+        if len(self.tokens) > REMEMBERED:
+            self.tokens = {}
+        for w in set(words).difference(self.known):
+            self.known[w] = b"".join(map(self.token, self.PRE.findall(w)))
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def best_fit(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -124,8 +136,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         for b in batches:
             for row, stop, texts in text_slices(b):
                 rows = []
-                for k, x in enumerate(ids.of(texts.to_pylist()), row):
-                    x += end
+                for k, text in enumerate(texts.to_pylist(), row):
+                    x = ids.of(text) + end
                     for p, at in enumerate(range(0, len(x), 4 * capacity)):
                         part = x[at : at + 4 * capacity]
                         n = len(part) // 4
@@ -157,4 +169,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             at = np.searchsorted(key, (b.column(3).to_numpy(zero_copy_only=False) << 48) | own, "right") - 1
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(first[at] + own - rank[at]), pa.array(offset[at])], names=[c.split()[0] for c in OUT.split(", ")])
 
-    return cut.join(base, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "local", "base").mapInArrow(place, OUT)
+    return cut.join(base.hint("merge"), ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "local", "base").mapInArrow(place, OUT)
