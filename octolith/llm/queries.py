@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from octolith.llm import decontaminate, exact_dedup, language, license_scan, packing, sharding
+from octolith.llm import decontaminate, exact_dedup, jaccard, language, license_scan, packing, sharding
 from octolith.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10)
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir), n=5)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=8)
 
@@ -38,7 +42,19 @@ def op8_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_49
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+SPACED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
 SQL: dict[str, str] = {
+    "op6_jaccard": f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {SPACED} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g
+      FROM (SELECT r, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+x AS (SELECT a.r AS r1, b.r AS r2, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.r <> b.r GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT r1, r2 FROM x JOIN n p ON p.r = r1 JOIN n q ON q.r = r2 WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach(r, t) AS (SELECT r, r FROM d UNION SELECT reach.r, r2 FROM reach JOIN e ON r1 = reach.t)
+SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM reach JOIN d ON d.r = reach.r JOIN d o ON o.r = reach.t LEFT JOIN n ON n.r = reach.r GROUP BY reach.r""",
     "op1_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
