@@ -6,13 +6,14 @@ with its own partition of the 64-bit shingle hashes into n parts. A set of size
 most k elements, so of its parts in order it enumerates those with elements until it has k + 1: of the parts
 that two similar sets both list, at most k differ, so one part with elements agrees, and its content is a
 signature that both have (the subsets of PartEnum's second level have one part here, the fewest signatures).
-A set with fewer than k + 1 parts that have elements goes the exact second way below.
 
 Equal sets are one class. Classes that share a signature are candidates: first each with the smallest class of the
 signature (the links found so give provisional components), then every pair in different components. A signature
-with more than `HOT` classes isn't paired up: its classes, like those above, are joined by a prefix filter (the
-rarest shingles of each set, by their count over these classes; similar sets share one), again only across
-provisional components. Every candidate pair is verified on the sets themselves.
+with more than `HOT` classes isn't paired up. It isn't needed for a set that lists enough other parts: each lists
+some more than k + 1, and the argument holds as long as k + 1 of them aren't hot. Sets for which they are, or with
+too few parts that have elements, are joined by a prefix filter (the rarest shingles of each set, by their count over
+these sets; similar sets share one), again only across provisional components. Candidate pairs are sifted by counts
+of their shingles in 256 bins, whose differences can't exceed the sets', and then verified on the sets themselves.
 
 Cases: null, empty and blank texts have the empty set and are linked with nothing; a text of one to four words has
 its whole sequence as one shingle. Rows that repeat a doc_id are reported each; a null doc_id takes part in
@@ -65,33 +66,40 @@ def bands() -> list[tuple[int, int]]:
     return out
 
 
-def signatures(u: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The set's signatures in its band and the next, and whether a band had too few parts with elements."""
+def signatures(u: np.ndarray) -> tuple[np.ndarray, int]:
+    """The set's signatures in its band and the next, and how many of a band's it could spare (below 0: too few)."""
     s, all_bands = len(u), bands()
     own = next(i for i, (_, high) in enumerate(all_bands) if s <= high)
-    out, short = [], False
+    out, slack = [], s
     for j in (own, own + 1):
         low, high = all_bands[j]
         partner = min(high, s * 4 // 3)
         if j > own and partner < low:
             continue
         k, n = (s + partner) // 7, -(-4 * high // 10) + 6
+        most = k + 1 + max(3, k // 7)
         part = (mix(u + np.uint64(j)) % np.uint64(n)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        at = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])[: k + 2]
-        content = np.add.reduceat(mix(u[order] ^ np.uint64(0x2545F4914F6CDD1D)), at)[: k + 1]
-        used = part[order][at][: k + 1].astype(np.uint64)
-        short |= len(used) < k + 1
+        part = part[order]
+        at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])[: most + 1]
+        content = np.add.reduceat(mix(u[order] ^ np.uint64(0x2545F4914F6CDD1D)), at)[:most]
+        used = part[at][:most].astype(np.uint64)
+        slack = min(slack, len(used) - k - 1)
         out.append(mix(content + used * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j * 0x632BE5AB)))
-    return np.concatenate(out), short
+    return np.concatenate(out), slack
+
+
+def sketch(u: np.ndarray) -> bytes:
+    """The set's size, and its counts (255 at most) by the first byte of the shingle hash."""
+    return np.int64(len(u)).tobytes() + np.minimum(np.bincount((u >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
 
 def _classes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, end, texts in text_slices(b):
-                rows = [(class_of(u), len(u), bool(len(u)) and signatures(u)[1]) for u in sets(texts, n)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, end - row), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_())))], names=["doc_id", "class", "n", "short"])
+                rows = [(class_of(u), len(u), signatures(u)[1] if len(u) else 0, sketch(u)) for u in sets(texts, n)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, end - row), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary())))], names=["doc_id", "class", "n", "slack", "sketch"])
 
     return run
 
@@ -136,7 +144,7 @@ def _signed(n: int, buckets: int):
     return run
 
 
-GROUPS = "gid long, hot boolean, members array<long>, sizes array<int>"
+GROUPS = "gid long, hot boolean, times long, members array<long>, sizes array<int>"
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,19 +176,19 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(np.r_[True, np.diff(key) != 0])
         n = np.diff(np.r_[at, len(key)])
         gid = mix(np.add.reduceat(mix(owner.view(np.uint64)), at)).view(np.int64)
-        _, first = np.unique(gid, return_index=True)
+        _, first, times = np.unique(gid, return_index=True, return_counts=True)
         out = []
-        for g in first[n[first] > 1]:
+        for g, k in zip(first[n[first] > 1], times[n[first] > 1]):
             a, z = at[g], at[g] + n[g]
             if n[g] <= HOT:
-                out.append((gid[g], False, owner[a:z], size[a:z]))
+                out.append((gid[g], False, k, owner[a:z], size[a:z]))
             else:
-                out += [(gid[g], True, np.r_[owner[a], owner[x : min(z, x + _BLOCK)]], np.r_[size[a], size[x : min(z, x + _BLOCK)]]) for x in range(a + 1, z, _BLOCK)]
+                out += [(gid[g], True, k, np.r_[owner[a], owner[x : min(z, x + _BLOCK)]], np.r_[size[a], size[x : min(z, x + _BLOCK)]]) for x in range(a + 1, z, _BLOCK)]
         return out
 
     def rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(found), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found[i : i + 20_000]), (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32())))], names=["gid", "hot", "members", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found[i : i + 20_000]), (pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())))], names=["gid", "hot", "times", "members", "sizes"])
 
     now, held = None, []
     for b in batches:
@@ -194,42 +202,83 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(groups(held))
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, salt, b, shingles), the set of `a` itself first: the pairs (a, b) that link."""
-    now, center = None, None
+def _linked(x: bytes, y: bytes) -> bool:
+    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= 75 * (len(both) - common)
+
+
+def _near(x: bytes, y: bytes) -> bool:
+    differ = int(np.abs(np.frombuffer(x, np.uint8, 256, 8).astype(np.int16) - np.frombuffer(y, np.uint8, 256, 8)).sum())
+    return 7 * differ <= int(np.frombuffer(x, np.int64, 1)[0] + np.frombuffer(y, np.int64, 1)[0])
+
+
+def passing(pairs: DataFrame, table: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) whose data in table (class, data) pass test. The pairs of one `a` are dealt to as many as 64 places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, center = None, None
+        for rows in batches:
+            out = []
+            for a, salt, b, data in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist(), rows.column(3)):
+                if b is None:
+                    now, center = (a, salt), data.as_buffer()
+                elif (a, salt) == now and test(center, data.as_buffer()):
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    dealt = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(64)).alias("salt"), "b")
+    member = dealt.join(table.withColumnRenamed("class", "b"), "b").select("a", "salt", "b", "data")
+    center = dealt.select("a", "salt").distinct().join(table.withColumnRenamed("class", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "data")
+    return member.union(center).repartition(parts(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+
+
+def _sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (gid, class, comp, sketch) of groups of at most HOT: the pairs in different components that may link."""
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        if len(rows) < 2:
+            return
+        rows.sort(key=lambda r: r[0])
+        ids = [r[0] for r in rows]
+        comp = np.unique([r[1] for r in rows], return_inverse=True)[1]
+        n = np.array([np.frombuffer(r[2], np.int64, 1)[0] for r in rows])
+        bins = np.stack([np.frombuffer(r[2], np.uint8, 256, 8) for r in rows]).astype(np.int16)
+        for i in range(len(rows) - 1):
+            differ = np.abs(bins[i + 1 :] - bins[i]).sum(1, dtype=np.int64)
+            fit = (7 * differ <= n[i + 1 :] + n[i]) & (comp[i + 1 :] != comp[i]) & (4 * np.minimum(n[i + 1 :], n[i]) >= 3 * np.maximum(n[i + 1 :], n[i]))
+            yield from ((ids[i], ids[i + 1 + j]) for j in np.flatnonzero(fit))
+
+    now, held = None, []
     for b in batches:
         out = []
-        for a, salt, c, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
-            u = np.frombuffer(data.as_buffer(), np.uint64)
-            if c is None:
-                now, center = (a, salt), u
-            elif (a, salt) == now:
-                both = np.concatenate([center, u])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= 75 * (len(both) - common):
-                    out.append((a, c))
+        for gid, c, comp, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+            if gid != now:
+                out += pairs(held)
+                now, held = gid, []
+            held.append((c, comp, data.as_buffer()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+    if out := list(pairs(held)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. The pairs of one `a` are dealt to as many as 64 places."""
-    dealt = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(64)).alias("salt"), "b")
-    member = dealt.join(arrays.withColumnRenamed("class", "b"), "b").select("a", "salt", "b", "shingles")
-    center = dealt.select("a", "salt").distinct().join(arrays.withColumnRenamed("class", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
-    return member.union(center).repartition(parts(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_similar, "a long, b long")
-
-
-def _arrays(n: int):
+def _sets_of(n: int):
     """Rows (wanted class, text): the sets of the texts that are of that class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()  # rows that repeat a doc_id come to one task
         for b in batches:
             for row, _, texts in text_slices(b):
-                out = [(c, u.tobytes()) for c, u in zip(b.column(0).slice(row, len(texts)).to_pylist(), sets(texts, n)) if class_of(u) == c]
+                out = []
+                for c, u in zip(b.column(0).slice(row, len(texts)).to_pylist(), sets(texts, n)):
+                    if c not in met and class_of(u) == c:
+                        met.add(c)
+                        out.append((c, u.tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary()))], names=["class", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary()))], names=["class", "data"])
 
     return run
 
@@ -248,47 +297,61 @@ def _fits(x: str, y: str):
     return 4 * F.least(x, y) >= 3 * F.greatest(x, y)
 
 
-def _across(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs of classes in rows (key, class, n, comp) with one key, different components and fitting sizes."""
-    several = rows.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(key)
-    rows = written(rows.join(written(several, "several"), key, "left_semi"), "across")
-    x = rows.select(key, F.col("class").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = rows.select(key, F.col("class").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    return x.join(y, key).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb")).select("a", "b")
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key has more than one component."""
+    several = written(rows.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(key), "several")
+    return rows.join(several, key, "left_semi")
 
 
 def jaccard_links(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class, n) of every document, and links (a, b) whose components are those of all links between classes."""
     spark = docs.sparkSession
     t = texts_only(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    classes = written(t.mapInArrow(_classes(n), "doc_id long, class long, n long, short boolean"), "classes")
+    classes = written(t.mapInArrow(_classes(n), "doc_id long, class long, n long, slack int, sketch binary"), "classes")
     buckets = min(65536, 2 * parts(spark))
     signed = t.select("text").mapInArrow(_signed(n, buckets), "bucket int, payload binary").repartition(parts(spark), "bucket")
     groups = written(signed.sortWithinPartitions("bucket").mapInArrow(_grouped, GROUPS), "groups")
-    # The sets that a verification may need, once each.
-    short = classes.where("short").select("class").distinct()
-    wanted = groups.select(F.explode("members").alias("class")).union(short).distinct()
-    one = classes.join(written(wanted, "wanted"), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    arrays = written(t.join(one, "doc_id").select("class", "text").mapInArrow(_arrays(n), "class long, shingles binary").dropDuplicates(["class"]), "sets")
+    # Classes that can't do without hot signatures.
+    heat = groups.where("hot").select(F.explode("members").alias("class"), "times").groupBy("class").agg(F.sum("times").alias("heat"))
+    one = classes.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("slack").alias("slack"), F.first("sketch").alias("data"))
+    one = written(one.join(heat, "class", "left").withColumn("second", F.coalesce("heat", F.lit(0)) > F.col("slack")).drop("heat", "slack"), "one")
+    sketches = one.select("class", "data")
+    second = written(one.where("second").select("class", "n"), "second")
+
+    def data(wanted: DataFrame) -> DataFrame:
+        at = one.select("class", "doc_id").join(wanted, "class", "left_semi")
+        return written(t.join(at, "doc_id").select("class", "text").mapInArrow(_sets_of(n), "class long, data binary"), "sets")
+
     # Each class with the smallest one of its signatures.
-    star = groups.select(F.element_at("members", 1).alias("a"), F.element_at("sizes", 1).alias("na"), F.explode(F.expr("slice(arrays_zip(members, sizes), 2, size(members))")).alias("m"))
-    star = star.select("a", F.col("m.members").alias("b"), "na", F.col("m.sizes").alias("nb")).where(_fits("na", "nb")).select("a", "b").distinct()
-    star = written(star, "star")
-    links = written(verified(star, arrays), "links")
+    star = groups.select("hot", F.element_at("members", 1).alias("a"), F.element_at("sizes", 1).alias("na"), F.explode(F.expr("slice(arrays_zip(members, sizes), 2, size(members))")).alias("m"))
+    star = star.select("hot", "a", F.col("m.members").alias("b"), "na", F.col("m.sizes").alias("nb")).where(_fits("na", "nb"))
+    needed = star.where("hot").select("a", "b").distinct().join(second.select(F.col("class").alias("b")), "b", "left_semi").select("a", "b")
+    star = written(star.where("NOT hot").select("a", "b").union(needed).distinct(), "star")
+    near = written(passing(star, sketches, _near), "near")
+    ends = near.select(F.explode(F.array("a", "b")).alias("class")).union(second.select("class")).distinct()
+    sets_ = data(ends)
+    links = written(passing(near, sets_, _linked), "links")
     label = components(links)
     with_comp = lambda rows: rows.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label")
-    # Pairs across components behind a signature, and by rarest shingles where there are too many.
-    small = groups.where("NOT hot").dropDuplicates(["gid"]).select("gid", F.explode(F.arrays_zip("members", "sizes")).alias("m")).select("gid", F.col("m.members").alias("class"), F.col("m.sizes").alias("n"))
-    pairs = _across(with_comp(small), "gid")
-    many = written(groups.where("hot").select(F.explode("members").alias("class")).union(short).distinct(), "many")
-    shingles = written(arrays.join(many, "class", "left_semi").select("class", "shingles").mapInArrow(_exploded, "class long, n long, shingle long"), "shingles")
+    # Pairs across components behind a signature.
+    small = groups.where("NOT hot").dropDuplicates(["gid"]).select("gid", F.explode("members").alias("class"))
+    small = _several(written(with_comp(small), "small"), "gid").join(sketches, "class").select("gid", "class", "comp", "data")
+    pairs = small.repartition(parts(spark), "gid").sortWithinPartitions("gid").mapInArrow(_sifted, "a long, b long")
+    # And by rarest shingles.
+    shingles = written(sets_.join(second.select("class"), "class", "left_semi").mapInArrow(_exploded, "class long, n long, shingle long"), "shingles")
     common = written(shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "common")
     rarest = shingles.join(common, "shingle").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     take = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - (F.col("n") - F.size("s"))
     prefix = rarest.where(take > 0).select("class", "n", F.explode(F.slice("s", F.lit(1), F.greatest(take, F.lit(1)).cast("int"))).alias("e")).select("class", "n", F.col("e.shingle").alias("shingle"))
-    pairs = pairs.union(_across(with_comp(prefix), "shingle")).distinct().join(star, ["a", "b"], "left_anti")
-    more = written(verified(written(pairs, "pairs"), arrays), "links")
-    return classes, links.union(more)
+    prefix = written(_several(written(with_comp(prefix), "prefix"), "shingle"), "prefix")
+    x = prefix.select("shingle", F.col("class").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    y = prefix.select("shingle", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    by_prefix = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb")).select("a", "b").distinct()
+    pairs = pairs.union(passing(by_prefix, sketches, _near)).distinct().join(star, ["a", "b"], "left_anti")
+    pairs = written(pairs, "pairs")
+    rest = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(ends, "class", "left_anti")
+    more = written(passing(pairs, sets_.union(data(rest)), _linked), "links")
+    return classes.select("doc_id", "class", "n"), links.union(more)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from octolith.llm import decontaminate, exact_dedup, jaccard, language, license_scan, packing, sharding
+from octolith.llm import decontaminate, exact_dedup, jaccard, language, license_scan, packing, pii, sharding
 from octolith.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10)
 
