@@ -141,25 +141,33 @@ class Tokens:
             code = np.add.reduceat((shape[kept].astype(np.uint64) + np.uint64(1)) * (place * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)), first)
         self.shape = ((code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(52)).astype(np.int64) % _BUCKETS
         size = self.end - self.start
-        digits = np.add.reduceat((shape == 100).astype(np.int32), self.start) if n else np.zeros(0, np.int32)
-        letters = np.add.reduceat((shape == 120).astype(np.int32), self.start) if n else np.zeros(0, np.int32)
-        # reduceat runs on to the next word; blanks between are neither digits nor letters
-        has = lambda c: (np.add.reduceat((data == ord(c)).astype(np.int32), self.start) > 0) if n else np.zeros(0, bool)
+        owner = lambda places: np.searchsorted(self.start, places, "right") - 1
+        digits = np.bincount(owner(np.flatnonzero(shape == 100)), minlength=n)
+        marks = np.flatnonzero(inside & (shape != 100) & (shape != 120))
+        mark, of = data[marks], owner(marks)
+        letters = size - digits - np.bincount(of, minlength=n)
+        count = lambda c: np.bincount(of[mark == ord(c)], minlength=n)
         is_at, is_dot = np.zeros(n, bool), np.zeros(n, bool)
-        for i in np.flatnonzero((size >= 2) & (size <= 7) & (letters >= 2) & (letters <= 5) & (digits == 0)):
-            w = data[self.start[i] : self.end[i]].tobytes()
-            is_at[i], is_dot[i] = bool(_AT.fullmatch(w)), bool(_DOT.fullmatch(w))
-        colons = np.add.reduceat((data == ord(":")).astype(np.int32), self.start) if n else np.zeros(0, np.int32)
-        self.flags = np.stack([np.ones(n, bool), letters == size, (digits == size) & (size <= 2), (digits == size) & (size == 3), (digits == size) & (size == 4), (digits == size) & (size > 4), (digits >= 7) & (digits <= 12), digits >= 13, has("(") & has(")"), is_at, is_dot, colons >= 4], 1).astype(np.float64)
+        if n:
+            head = data[self.start] | 32
+            for i in np.flatnonzero((letters >= 2) & (letters <= 5) & (size <= 7) & (digits == 0) & ((letters < size) | (size == 2) & (head == 97) | (size > 2) & np.isin(head, (100, 112)))):
+                w = data[self.start[i] : self.end[i]].tobytes()
+                is_at[i], is_dot[i] = bool(_AT.fullmatch(w)), bool(_DOT.fullmatch(w))
+        flags = [np.ones(n, bool), letters == size, (digits == size) & (size <= 2), (digits == size) & (size == 3), (digits == size) & (size == 4), (digits == size) & (size > 4), (digits >= 7) & (digits <= 12), digits >= 13, (count("(") > 0) & (count(")") > 0), is_at, is_dot, count(":") >= 4]
+        self.flags = sum((f.astype(np.int64) << i for i, f in enumerate(flags)), np.zeros(n, np.int64))
         line = np.cumsum(data == 10)[self.start] if n else np.zeros(0, np.int64)
         self.first = np.r_[True, (np.diff(line) != 0) | (np.diff(self.doc) != 0)] if n else np.zeros(0, bool)
 
-    def features(self) -> np.ndarray:
-        """Flags of each word, of the one before and of the one after it in its line."""
-        zero = np.zeros((1, _FLAGS))
-        before = np.where(self.first[:, None], 0, np.r_[zero, self.flags[:-1]])
-        after = np.where(np.r_[self.first[1:], True][:, None], 0, np.r_[self.flags[1:], zero])
-        return np.concatenate([self.flags, before, after], 1)
+    def around(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flags (as bits) of each word, of the one before and of the one after it in its line."""
+        before, after = np.zeros_like(self.flags), np.zeros_like(self.flags)
+        before[1:], after[:-1] = self.flags[:-1], self.flags[1:]
+        before[self.first] = 0
+        after[:-1][self.first[1:]] = 0
+        return self.flags, before, after
+
+
+_COMBINATIONS = (np.arange(1 << _FLAGS)[:, None] >> np.arange(_FLAGS) & 1).astype(np.float64)
 
 
 class Field:
@@ -170,22 +178,36 @@ class Field:
         self.shape, self.flag, self.step = np.zeros((_BUCKETS, k)), np.zeros((3 * _FLAGS, k)), np.zeros((k, k))
 
     def scores(self, t: Tokens) -> np.ndarray:
-        return t.features() @ self.flag + self.shape[t.shape]
+        out = self.shape[t.shape]
+        for i, bits in enumerate(t.around()):
+            out = out + (_COMBINATIONS @ self.flag[i * _FLAGS : (i + 1) * _FLAGS])[bits]
+        return out
 
     @staticmethod
-    def lines(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """First words of the lines, longest line first, and their lengths."""
+    def lines(t: Tokens, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the lines (that have a word in `some`), longest line first, and their lengths."""
         at = np.flatnonzero(t.first)
         n = np.diff(np.r_[at, len(t.start)])
+        if some is not None:
+            keep = np.logical_or.reduceat(some, at)
+            at, n = at[keep], n[keep]
         order = np.argsort(-n, kind="stable")
         return at[order], n[order]
 
     def decode(self, t: Tokens) -> np.ndarray:
-        """The best label of every word: Viterbi over all lines side by side."""
+        """The best label of every word: Viterbi over all lines side by side.
+
+        A word's label other than none can gain at most its score's lead and twice the best step's; a line
+        in which that is negative for all words has no labels and is left out.
+        """
         out = np.zeros(len(t.start), np.int64)
         if not len(out):
             return out
-        e, (at, n) = self.scores(t), self.lines(t)
+        e = self.scores(t)
+        lead = e[:, 1:].max(1) - e[:, 0] + 2 * max(0.0, self.step.max() - self.step[0, 0])
+        at, n = self.lines(t, lead >= 0)
+        if not len(at):
+            return out
         best, back = e[at], []
         ends = []
         for i in range(1, int(n[0])):
@@ -206,7 +228,8 @@ class Field:
 
     def fit(self, t: Tokens, gold: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> None:
         """Gradient ascent (scaled by Adagrad) on the log-likelihood of the gold labels."""
-        x, (at, n), k = t.features(), self.lines(t), len(KINDS) + 1
+        (at, n), k = self.lines(t), len(KINDS) + 1
+        x = np.concatenate([_COMBINATIONS[bits] for bits in t.around()], 1)
         sums = [np.full(w.shape, 1e-8) for w in (self.shape, self.flag, self.step)]
         hot = np.eye(k)[gold]
         inner = np.flatnonzero(~t.first)
@@ -261,8 +284,8 @@ def _plausible(kind: int, text: bytes) -> bool:
     if kind == 2:
         return text.count(b":") == 7 and bool(re.fullmatch(rb"[0-9a-fA-F:]+", text))
     if kind == 3:
-        return 15 <= digits <= 19 and bool(re.fullmatch(rb"[0-9 -]+", text))
-    return 9 <= digits <= 12 and bool(re.fullmatch(rb"\(?\d{2,5}\)?[ ./-]\d{2,4}(?:[ .-]\d{2,4}){1,3}|\(\d{3}\) ?\d{3}-\d{4}", text))
+        return 16 <= digits <= 19 and bool(re.fullmatch(rb"[0-9 .-]+", text)) and _luhn(re.sub(rb"[^0-9]", b"", text).decode())
+    return 9 <= digits <= 12 and bool(re.fullmatch(rb"\(\d{2,5}\) ?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{1,4}[ /-]\d{2,8}(?: \d{2}){0,3}", text))
 
 
 _TRIM = b".,;:!?\"'"
