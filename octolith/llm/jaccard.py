@@ -13,7 +13,7 @@ with more than `HOT` classes isn't paired up. It isn't needed for a set that lis
 some more than k + 1, and the argument holds as long as k + 1 of them aren't hot. Sets for which they are, or with
 too few parts that have elements, are joined by a prefix filter (the rarest shingles of each set, by their count over
 these sets; similar sets share one), again only across provisional components. Candidate pairs are sifted by counts
-of their shingles in 256 bins, whose differences can't exceed the sets', and then verified on the sets themselves.
+of their shingles in bins, whose differences can't exceed the sets', and then verified on the sets themselves.
 
 Cases: null, empty and blank texts have the empty set and are linked with nothing; a text of one to four words has
 its whole sequence as one shingle. Rows that repeat a doc_id are reported each; a null doc_id takes part in
@@ -90,8 +90,18 @@ def signatures(u: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def sketch(u: np.ndarray) -> bytes:
-    """The set's size, and its counts (255 at most) by the first byte of the shingle hash."""
-    return np.int64(len(u)).tobytes() + np.minimum(np.bincount((u >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+    """The set's size, and its counts by the first bits of the shingle hash: 256 bins or, for large sets, one for 4 to 8."""
+    bits = max(8, len(u).bit_length() - 2)
+    bins = np.bincount((u >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.int64(len(u)).tobytes() + (bins.astype(np.uint8).tobytes() if bins.max() < 256 else b"")
+
+
+def _bins(data: bytes) -> tuple[int, np.ndarray]:
+    return int(np.frombuffer(data, np.int64, 1)[0]), np.frombuffer(data, np.uint8, -1, 8).astype(np.int64)
+
+
+def _folded(bins: np.ndarray, n: int) -> np.ndarray:
+    return bins.reshape(n, -1).sum(1)
 
 
 def _classes(n: int):
@@ -210,8 +220,9 @@ def _linked(x: bytes, y: bytes) -> bool:
 
 
 def _near(x: bytes, y: bytes) -> bool:
-    differ = int(np.abs(np.frombuffer(x, np.uint8, 256, 8).astype(np.int16) - np.frombuffer(y, np.uint8, 256, 8)).sum())
-    return 7 * differ <= int(np.frombuffer(x, np.int64, 1)[0] + np.frombuffer(y, np.int64, 1)[0])
+    (m, a), (n, b) = _bins(x), _bins(y)
+    least = min(len(a), len(b))
+    return not least or 7 * int(np.abs(_folded(a, least) - _folded(b, least)).sum()) <= m + n
 
 
 def passing(pairs: DataFrame, table: DataFrame, test) -> DataFrame:
@@ -244,10 +255,12 @@ def _sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows.sort(key=lambda r: r[0])
         ids = [r[0] for r in rows]
         comp = np.unique([r[1] for r in rows], return_inverse=True)[1]
-        n = np.array([np.frombuffer(r[2], np.int64, 1)[0] for r in rows])
-        bins = np.stack([np.frombuffer(r[2], np.uint8, 256, 8) for r in rows]).astype(np.int16)
+        every = [_bins(r[2]) for r in rows]
+        n = np.array([x[0] for x in every])
+        least = min(len(x[1]) for x in every)
+        bins = np.stack([_folded(x[1], least) for x in every]) if least else np.zeros((len(rows), 1), np.int64)
         for i in range(len(rows) - 1):
-            differ = np.abs(bins[i + 1 :] - bins[i]).sum(1, dtype=np.int64)
+            differ = np.abs(bins[i + 1 :] - bins[i]).sum(1)
             fit = (7 * differ <= n[i + 1 :] + n[i]) & (comp[i + 1 :] != comp[i]) & (4 * np.minimum(n[i + 1 :], n[i]) >= 3 * np.maximum(n[i + 1 :], n[i]))
             yield from ((ids[i], ids[i + 1 + j]) for j in np.flatnonzero(fit))
 
