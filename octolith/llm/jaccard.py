@@ -212,30 +212,47 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(groups(held))
 
 
-def _linked(x: bytes, y: bytes) -> bool:
-    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate([x, y])
     both.sort()
     common = int((both[1:] == both[:-1]).sum())
     return 100 * common >= 75 * (len(both) - common)
 
 
+def _as_is(_: int, data: bytes) -> bytes:
+    return data
+
+
 def _near(x: bytes, y: bytes) -> bool:
     (m, a), (n, b) = _bins(x), _bins(y)
     least = min(len(a), len(b))
     return not least or 7 * int(np.abs(_folded(a, least) - _folded(b, least)).sum()) <= m + n
 
 
-def passing(pairs: DataFrame, table: DataFrame, test) -> DataFrame:
-    """The pairs (a, b) whose data in table (class, data) pass test. The pairs of one `a` are dealt to as many as 64 places."""
+def _set_of(n: int):
+    """The set of a text, if it is of the class: rows that repeat a doc_id may bring another text."""
+
+    def own(c: int, data: bytes) -> np.ndarray | None:
+        u = next(sets(pa.array([data.decode()]), n))
+        return u if class_of(u) == c else None
+
+    return own
+
+
+def passing(pairs: DataFrame, table: DataFrame, read, test) -> DataFrame:
+    """The pairs (a, b) whose data in table (class, data), as read, pass test. One `a` is dealt to as many as 64 places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, center = None, None
         for rows in batches:
             out = []
             for a, salt, b, data in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist(), rows.column(3)):
+                x = read(a if b is None else b, data.as_buffer().to_pybytes())
+                if x is None:
+                    continue
                 if b is None:
-                    now, center = (a, salt), data.as_buffer()
-                elif (a, salt) == now and test(center, data.as_buffer()):
+                    now, center = (a, salt), x
+                elif (a, salt) == now and test(center, x):
                     out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
@@ -278,34 +295,20 @@ def _sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
 
-def _sets_of(n: int):
-    """Rows (wanted class, text): the sets of the texts that are of that class."""
+def _exploded(n: int):
+    """Rows (class, text) to one row for each shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = set()  # rows that repeat a doc_id come to one task
+        met = set()
         for b in batches:
-            for row, _, texts in text_slices(b):
-                out = []
-                for c, u in zip(b.column(0).slice(row, len(texts)).to_pylist(), sets(texts, n)):
-                    if c not in met and class_of(u) == c:
-                        met.add(c)
-                        out.append((c, u.tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary()))], names=["class", "data"])
+            for c, data in zip(b.column(0).to_pylist(), b.column(1)):
+                if c not in met and (u := _set_of(n)(c, data.as_buffer().to_pybytes())) is not None:
+                    met.add(c)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), c)), pa.array(np.full(len(u), len(u))), pa.array(u.view(np.int64))], names=["class", "n", "shingle"])
 
     return run
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        data = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
-        for i in range(0, len(data), 256):
-            u = data[i : i + 256]
-            n = [len(x) for x in u]
-            ids = b.column(0).slice(i, len(u)).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(np.array(n, np.int64), n)), pa.array(np.concatenate(u))], names=["class", "n", "shingle"])
-
-
 def _fits(x: str, y: str):
     return 4 * F.least(x, y) >= 3 * F.greatest(x, y)
 
@@ -333,17 +336,17 @@ def jaccard_links(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
 
     def data(wanted: DataFrame) -> DataFrame:
         at = one.select("class", "doc_id").join(wanted, "class", "left_semi")
-        return written(t.join(at, "doc_id").select("class", "text").mapInArrow(_sets_of(n), "class long, data binary"), "sets")
+        return written(t.join(at, "doc_id").select("class", F.col("text").cast("binary").alias("data")), "texts")
 
     # Each class with the smallest one of its signatures.
     star = groups.select("hot", F.element_at("members", 1).alias("a"), F.element_at("sizes", 1).alias("na"), F.explode(F.expr("slice(arrays_zip(members, sizes), 2, size(members))")).alias("m"))
     star = star.select("hot", "a", F.col("m.members").alias("b"), "na", F.col("m.sizes").alias("nb")).where(_fits("na", "nb"))
     needed = star.where("hot").select("a", "b").distinct().join(second.select(F.col("class").alias("b")), "b", "left_semi").select("a", "b")
     star = written(star.where("NOT hot").select("a", "b").union(needed).distinct(), "star")
-    near = written(passing(star, sketches, _near), "near")
+    near = written(passing(star, sketches, _as_is, _near), "near")
     ends = near.select(F.explode(F.array("a", "b")).alias("class")).union(second.select("class")).distinct()
-    sets_ = data(ends)
-    links = written(passing(near, sets_, _linked), "links")
+    texts = data(ends)
+    links = written(passing(near, texts, _set_of(n), _linked), "links")
     label = components(links)
     with_comp = lambda rows: rows.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label")
     # Pairs across components behind a signature.
@@ -351,7 +354,7 @@ def jaccard_links(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     small = _several(written(with_comp(small), "small"), "gid").join(sketches, "class").select("gid", "class", "comp", "data")
     pairs = small.repartition(parts(spark), "gid").sortWithinPartitions("gid").mapInArrow(_sifted, "a long, b long")
     # And by rarest shingles.
-    shingles = written(sets_.join(second.select("class"), "class", "left_semi").mapInArrow(_exploded, "class long, n long, shingle long"), "shingles")
+    shingles = written(texts.join(second.select("class"), "class", "left_semi").mapInArrow(_exploded(n), "class long, n long, shingle long"), "shingles")
     common = written(shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "common")
     rarest = shingles.join(common, "shingle").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     take = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - (F.col("n") - F.size("s"))
@@ -360,10 +363,10 @@ def jaccard_links(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     x = prefix.select("shingle", F.col("class").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     y = prefix.select("shingle", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     by_prefix = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb")).select("a", "b").distinct()
-    pairs = pairs.union(passing(by_prefix, sketches, _near)).distinct().join(star, ["a", "b"], "left_anti")
+    pairs = pairs.union(passing(by_prefix, sketches, _as_is, _near)).distinct().join(star, ["a", "b"], "left_anti")
     pairs = written(pairs, "pairs")
     rest = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(ends, "class", "left_anti")
-    more = written(passing(pairs, sets_.union(data(rest)), _linked), "links")
+    more = written(passing(pairs, texts.union(data(rest)), _set_of(n), _linked), "links")
     return classes.select("doc_id", "class", "n"), links.union(more)
 
 
