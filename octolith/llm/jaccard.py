@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octolith.llm.common import parts, text_slices, texts_only, written
+from octolith.llm.common import parts, release, text_slices, texts_only, written
 from octolith.llm.graph import components
 from octolith.llm.words import SPACED, Words, mix, windows
 
@@ -327,6 +327,8 @@ def jaccard_links(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     buckets = min(65536, 2 * parts(spark))
     signed = t.select("text").mapInArrow(_signed(n, buckets), "bucket int, payload binary").repartition(parts(spark), "bucket")
     groups = written(signed.sortWithinPartitions("bucket").mapInArrow(_grouped, GROUPS), "groups")
+    del signed
+    release(spark)
     # Classes that can't do without hot signatures.
     heat = groups.where("hot").select(F.explode("members").alias("class"), "times").groupBy("class").agg(F.sum("times").alias("heat"))
     one = classes.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("slack").alias("slack"), F.first("sketch").alias("data"))
@@ -346,7 +348,9 @@ def jaccard_links(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     near = written(passing(star, sketches, _as_is, _near), "near")
     ends = near.select(F.explode(F.array("a", "b")).alias("class")).union(second.select("class")).distinct()
     texts = data(ends)
+    release(spark)
     links = written(passing(near, texts, _set_of(n), _linked), "links")
+    release(spark)
     label = components(links)
     with_comp = lambda rows: rows.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label")
     # Pairs across components behind a signature.
