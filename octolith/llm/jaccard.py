@@ -66,18 +66,24 @@ def bands() -> list[tuple[int, int]]:
     return out
 
 
-def signatures(u: np.ndarray) -> tuple[np.ndarray, int]:
-    """The set's signatures in its band and the next, and how many of a band's it could spare (below 0: too few)."""
-    s, all_bands = len(u), bands()
+def _instances(s: int) -> Iterator[tuple[int, int, int, int]]:
+    """For the own band of a size and the next: number, parts, most differences from a partner, signatures."""
+    if not s:
+        return
+    all_bands = bands()
     own = next(i for i, (_, high) in enumerate(all_bands) if s <= high)
-    out, slack = [], s
     for j in (own, own + 1):
         low, high = all_bands[j]
         partner = min(high, s * 4 // 3)
-        if j > own and partner < low:
-            continue
-        k, n = (s + partner) // 7, -(-4 * high // 10) + 6
-        most = k + 1 + max(3, k // 7)
+        if j == own or partner >= low:
+            k = (s + partner) // 7
+            yield j, -(-4 * high // 10) + 6, k, k + 1 + max(3, k // 7)
+
+
+def signatures(u: np.ndarray) -> tuple[np.ndarray, int]:
+    """The set's signatures in its band and the next, and how many of a band's it could spare (below 0: too few)."""
+    out, slack = [], len(u)
+    for j, n, k, most in _instances(len(u)):
         part = (mix(u + np.uint64(j)) % np.uint64(n)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         part = part[order]
@@ -89,6 +95,15 @@ def signatures(u: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate(out), slack
 
 
+def spare(u: np.ndarray) -> int:
+    """The second value of signatures(), by counting alone."""
+    s, out = len(u), len(u)
+    for j, n, k, most in _instances(s):
+        part = (mix(u + np.uint64(j)) % np.uint64(n)).astype(np.int64)
+        out = min(out, min(most, int(np.count_nonzero(np.bincount(part)))) - k - 1)
+    return out
+
+
 def sketch(u: np.ndarray) -> bytes:
     """The set's size, and its counts by the first bits of the shingle hash: 256 bins or, for large sets, one for 4 to 8."""
     bits = max(8, len(u).bit_length() - 2)
@@ -108,7 +123,7 @@ def _classes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, end, texts in text_slices(b):
-                rows = [(class_of(u), len(u), signatures(u)[1] if len(u) else 0, sketch(u)) for u in sets(texts, n)]
+                rows = [(class_of(u), len(u), spare(u), sketch(u)) for u in sets(texts, n)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, end - row), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary())))], names=["doc_id", "class", "n", "slack", "sketch"])
 
     return run
