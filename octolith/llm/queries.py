@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from octolith.llm import decontaminate, exact_dedup, jaccard, language, license_scan, packing, pii, sharding
+from octolith.llm import decontaminate, exact_dedup, jaccard, language, license_scan, packing, passages, pii, sharding, suffix_dedup
 from octolith.llm.common import documents
 
 
@@ -44,6 +44,14 @@ def op8_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_49
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(vocabulary))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), length=100)
+
+
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SPACED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
