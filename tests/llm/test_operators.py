@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 
+import numpy as np
 import pytest
 
 from octolith.llm import decontaminate, exact_dedup, jaccard, language, license_scan, packing, passages, pii, sharding, suffix_dedup
@@ -131,6 +132,27 @@ def test_passages(docs):
     assert {7, 8, 12} <= {r.doc_id for r in passages.repeated_passages(docs).collect()}
 
 
+def test_compact_windows():
+    rng = np.random.default_rng(5)
+    for size in (0, 4, 5, 80):
+        h = rng.integers(0, 9, size, dtype=np.uint64) << np.uint64(50)
+        value = h.tolist()
+        expected = set()
+        for c in range(size):
+            low = next((i + 1 for i in range(c - 1, -1, -1) if value[i] <= value[c]), 0)
+            high = next((i - 1 for i in range(c + 1, size) if value[i] < value[c]), size - 1)
+            if high - low + 1 >= 5:
+                expected.add((low, c, high))
+        assert set(zip(*passages.compact_windows(h, 5))) == expected
+
+
+def test_passages_chain_over_edits():
+    x = np.arange(1, 201, dtype=np.uint64)
+    y = np.r_[x[:80], np.array([900, 901], np.uint64), x[83:]]
+    assert passages.grown(x, y, [(10, 10), (150, 149)], 46, 0.75) == [(0, 199, 0, 198, 197 / 202)]
+    assert passages.grown(x, y[:40], [(10, 10)], 46, 0.75) == []
+
+
 def test_suffix_dedup(docs):
     seen, want = set(), []
     for d, t, _ in sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0)):
