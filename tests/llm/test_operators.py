@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from octolith.llm import decontaminate, exact_dedup, jaccard, language, license_scan, packing, passages, pii, sharding, suffix_dedup
+from octolith.llm.common import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, class string, label long"
 LONG = " ".join(f"word{i}" for i in range(120))
@@ -153,9 +154,16 @@ def test_passages_chain_over_edits():
     assert passages.grown(x, y[:40], [(10, 10)], 46, 0.75) == []
 
 
-def test_suffix_dedup(docs):
+@pytest.mark.parametrize("collection", [2000, 2])
+def test_suffix_dedup(spark, collection, monkeypatch):
+    """With collections of 2, groups are split again until the whole window is known."""
+    monkeypatch.setattr(suffix_dedup, "COLLECTION", collection)
+    line = "the quick brown fox jumps over the lazy dog while seventeen patient herons watch from the quiet river bank at dusk. "
+    more = [(100 + i, f"{'abcdefgh'[i % 8] * (i + 3)} {line[i % 3:]}{'zyxwvuts'[i % 8] * (2 * i + 1)}", "x") for i in range(12)] + [(200, "a" * 400, "x"), (201, "a" * 150, "x")]
+    rows = ROWS + more
+    docs = written(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), "docs")
     seen, want = set(), []
-    for d, t, _ in sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0)):
+    for d, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         b = (t or "").encode()
         hit = [False] * len(b)
         for i in range(len(b) - 99):
@@ -167,6 +175,13 @@ def test_suffix_dedup(docs):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_collection_order():
+    texts = [b"banana", b"", b"ananas", b"banana", b"n"]
+    text, start = suffix_dedup.collection_order(texts)
+    got = list(zip(text.tolist(), start.tolist()))
+    assert got == sorted(((i, j) for i, t in enumerate(texts) for j in range(len(t))), key=lambda x: (texts[x[0]][x[1] :], x[0]))
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline as p
 
