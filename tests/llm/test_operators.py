@@ -135,16 +135,18 @@ def test_passages(docs):
 
 def test_compact_windows():
     rng = np.random.default_rng(5)
-    for size in (0, 4, 5, 80):
-        h = rng.integers(0, 9, size, dtype=np.uint64) << np.uint64(50)
-        value = h.tolist()
+    for sizes in ((0,), (4,), (5,), (80,), (), (7, 3, 80, 5, 0, 41, 6)):
+        first = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        h = rng.integers(0, 9, first[-1], dtype=np.uint64) << np.uint64(50)
         expected = set()
-        for c in range(size):
-            low = next((i + 1 for i in range(c - 1, -1, -1) if value[i] <= value[c]), 0)
-            high = next((i - 1 for i in range(c + 1, size) if value[i] < value[c]), size - 1)
-            if high - low + 1 >= 5:
-                expected.add((low, c, high))
-        assert set(zip(*passages.compact_windows(h, 5))) == expected
+        for at, size in zip(first.tolist(), sizes):
+            value = h[at : at + size].tolist()
+            for c in range(size):
+                low = next((i + 1 for i in range(c - 1, -1, -1) if value[i] <= value[c]), 0)
+                high = next((i - 1 for i in range(c + 1, size) if value[i] < value[c]), size - 1)
+                if high - low + 1 >= 5:
+                    expected.add((at + low, at + c, at + high))
+        assert set(zip(*(x.tolist() for x in passages.compact_windows(h, 5, first)))) == expected
 
 
 def test_passages_chain_over_edits():
