@@ -12,7 +12,7 @@ signature (the links found so give provisional components), then every pair in d
 with more than `HOT` classes isn't paired up. It isn't needed for a set that lists enough other parts: each lists
 some more than k + 1, and the argument holds as long as k + 1 of them aren't hot. Sets for which they are, or with
 too few parts that have elements, are joined by a prefix filter (the rarest shingles of each set, by their count over
-these sets; similar sets share one), again only across provisional components. Candidate pairs are sifted by counts
+these sets; similar sets share one, early enough in both for the rest to suffice), again only across provisional components. Candidate pairs are sifted by counts
 of their shingles in bins, whose differences can't exceed the sets', and then verified on the sets themselves.
 
 Cases: null, empty and blank texts have the empty set and are linked with nothing; a text of one to four words has
@@ -377,11 +377,15 @@ def jaccard_links(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     common = written(shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "common")
     rarest = shingles.join(common, "shingle").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     take = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - (F.col("n") - F.size("s"))
-    prefix = rarest.where(take > 0).select("class", "n", F.explode(F.slice("s", F.lit(1), F.greatest(take, F.lit(1)).cast("int"))).alias("e")).select("class", "n", F.col("e.shingle").alias("shingle"))
+    # i: the place of a shingle in its set's order, in which those of this set alone come first.
+    prefix = rarest.where(take > 0).select("class", "n", (F.col("n") - F.size("s")).alias("alone"), F.posexplode(F.slice("s", F.lit(1), F.greatest(take, F.lit(1)).cast("int"))).alias("i", "e"))
+    prefix = prefix.select("class", "n", (F.col("alone") + F.col("i")).alias("i"), F.col("e.shingle").alias("shingle"))
     prefix = written(_several(written(with_comp(prefix), "prefix"), "shingle"), "prefix")
-    x = prefix.select("shingle", F.col("class").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = prefix.select("shingle", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    by_prefix = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb")).select("a", "b").distinct()
+    x = prefix.select("shingle", F.col("class").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca"))
+    y = prefix.select("shingle", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("comp").alias("cb"))
+    # What two sets share begins with their first shared shingle, so no more than the rest of either can be common.
+    enough = 7 * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= 3 * (F.col("na") + F.col("nb"))
+    by_prefix = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb") & enough).select("a", "b").distinct()
     pairs = pairs.union(passing(by_prefix, sketches, _as_is, _near)).distinct().join(star, ["a", "b"], "left_anti")
     pairs = written(pairs, "pairs")
     rest = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(ends, "class", "left_anti")
