@@ -413,7 +413,7 @@ def _sat(c: list[str], half: str) -> str:
 cell AS (SELECT i AS morton, {", ".join(f"{_axis('i', k, 3)} + 0.5 AS m{a}" for k, a in enumerate("xyz"))} FROM range(512) g(i))
 SELECT tri_id, morton::BIGINT AS morton FROM t, cell WHERE {_sat(["mx", "my", "mz"], "0.5")}""")
 def voxelize_triangles(spark, sf):
-    t = tables.embedding_columns(spark, sf, _TE, 4.0, 1.0).where("vec_id < 200").withColumnRenamed("vec_id", "tri_id")
+    t = tables.embedding_columns(spark, sf, _TE, 4.0, 1.0).withColumnRenamed("vec_id", "tri_id")
     return S.voxelize_triangles(t, 3)
 
 
