@@ -349,7 +349,7 @@ def subtree_hash_groups(spark, sf):
 @query(f"WITH {KEYS} SELECT a.node_id AS a, b.node_id AS b, ({' + '.join(f'bit_count(xor(a.w{i}, b.w{i}))' for i in range(8))})::BIGINT AS diff FROM k a, k b WHERE a.node_id < b.node_id AND a.node_id < 4000 AND b.node_id < 4000")
 def subtree_diff(spark, sf):
     d = pl_dag(spark, sf)
-    ids = d.nodes.where((F.col("level") == LEVELS - 2) & (F.col("node_id") < 4000)).select("node_id")
+    ids = d.nodes.where(F.col("level") == LEVELS - 2).select("node_id")
     pairs = cut(ids.select(F.col("node_id").alias("a")).join(ids.select(F.col("node_id").alias("b")), F.col("a") < F.col("b")), "pairs")
     return C.subtree_diff(d, pairs, LEVELS - 2)
 
