@@ -1,7 +1,8 @@
 """The training-corpus pipeline: language ID, exact dedup, near dedup, decontamination, packing.
 
 Each stage gets the rows that the one before kept, as a table written to the shared folder and read again. All but the
-last return the columns of documents.
+last return the columns of documents. They decide on each row by a number of its own, so rows with null or repeated
+doc_ids stay or go each by themselves.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octolith.llm.common import documents, written
+from octolith.llm.common import by_row, documents, keyed, only, written
 from octolith.llm.decontaminate import drop_contaminated
 from octolith.llm.exact_dedup import exact_dedup
 from octolith.llm.jaccard import keep_one
@@ -20,18 +21,20 @@ from octolith.llm.packing import pack
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: null texts and texts without a letter."""
-    gone = language_id(docs).where("lang_pred = 'und'").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    rows = keyed(docs)
+    return only(rows, language_id(by_row(rows), learn=rows).where("lang_pred = 'und'").select("doc_id"), "left_anti")
 
 
 def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id stays."""
-    gone = exact_dedup(docs, keep="largest").where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """Of equal texts, the row with the largest doc_id stays (a null one only without another; equal ones: the first row)."""
+    rows = keyed(docs)
+    own = rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("own"))
+    groups = exact_dedup(by_row(rows), keep="largest").select(F.col("doc_id").alias("row"), "keep_id").join(own, "row")
+    return only(rows, groups.groupBy("keep_id").agg(F.max(F.struct("own", (-F.col("row")).alias("m"))).alias("k")).select(-F.col("k.m")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links lead to, the one with the smallest doc_id stays."""
+    """Of documents that near-duplicate links lead to, the one with the smallest doc_id stays (a null one is the last)."""
     return keep_one(docs)
 
 

@@ -43,6 +43,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs and `__row`, a number of its own for each row, whatever its doc_id; a written table, so it stays the same."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """Keyed rows with their number as doc_id, to be judged each by itself."""
+    return rows.withColumn("doc_id", F.col("__row")).drop("__row")
+
+
+def only(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Of keyed rows those (left_anti: all but those) whose numbers are in the one column of keys, without the number."""
+    keys = keys.toDF("__key")
+    return rows.join(keys, rows["__row"] == keys["__key"], how).drop("__row")
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of plans that nothing refers to any more."""
     gc.collect()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octolith.llm.common import text_slices, texts_only, written
+from octolith.llm.common import by_row, keyed, only, text_slices, texts_only, written
 from octolith.llm.words import ALNUM, Words, windows
 
 GRAMS = "h long, n int, gram binary, item_id long"
@@ -135,6 +135,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block: int
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, block: int = 500_000) -> DataFrame:
-    """The documents without any benchmark window, all columns as they were. Rows with a null doc_id are judged too."""
-    bad = contamination(docs, benchmark, n, block).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The documents without any benchmark window, all columns as they were. Each row is judged by itself, whatever its doc_id."""
+    rows = keyed(docs)
+    return only(rows, contamination(by_row(rows), benchmark, n, block).where("contaminated").select("doc_id"), "left_anti")

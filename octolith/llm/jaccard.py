@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octolith.llm.common import parts, release, text_slices, texts_only, written
+from octolith.llm.common import by_row, keyed, only, parts, release, text_slices, texts_only, written
 from octolith.llm.graph import components
 from octolith.llm.words import SPACED, Words, mix, windows
 
@@ -406,6 +406,8 @@ def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5) -> DataFrame:
-    """The documents that name their component, all columns as they were."""
-    gone = jaccard_components(docs, n).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """Of each component the row with the smallest doc_id (a null one is the last; equal ones: the first row), all columns as they were."""
+    rows = keyed(docs)
+    own = rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("own"))
+    found = jaccard_components(by_row(rows), n).select(F.col("doc_id").alias("row"), "component_id").join(own, "row")
+    return only(rows, found.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "row")).alias("k")).select("k.row"))

@@ -115,9 +115,12 @@ def train(docs: DataFrame, per_language: int = 200) -> Model:
     return Model(texts)
 
 
-def language_id(docs: DataFrame, per_language: int = 200) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score (the winner's share of 2**-bits, from 0 to 1)."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, per_language))
+def language_id(docs: DataFrame, per_language: int = 200, learn: DataFrame | None = None) -> DataFrame:
+    """Per document: doc_id, held_out, lang_pred, score (the winner's share of 2**-bits, from 0 to 1).
+
+    The model is trained on `learn`, by default on docs.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(train(docs if learn is None else learn, per_language))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
