@@ -53,24 +53,63 @@ def representatives(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     return rows.groupBy("cluster").agg(F.max(F.struct("w", (-F.col("node_id")).alias("m"))).alias("b")).select("cluster", (-F.col("b.m")).alias("node_id"))
 
 
+#: Smaller values of a flow are put to nought (a column's largest always stay), and a flow that moves by less has ended.
+LEAST = 1e-6
+#: Values are rounded, so that the order of sums doesn't decide between equal attractors.
+DIGITS = 12
+
+
 def _markov(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, inflation: float) -> np.ndarray:
     m = np.eye(n)
     m[src, dst] = m[dst, src] = weight
     m /= m.sum(0)
     for _ in range(100):
         new = (m @ m) ** inflation
-        new[new < 1e-6] = 0
-        new /= new.sum(0)
-        if np.abs(new - m).max() < 1e-6:
+        top = new.max(0)
+        new[new < np.where(top < LEAST, LEAST * top, LEAST)] = 0
+        new = np.round(new / new.sum(0), DIGITS)
+        if np.abs(new - m).max() < LEAST:
             break
         m = new
     return m.argmax(0)  # the attractor of each node
 
 
+def _markov_joins(pairs: DataFrame, inflation: float) -> DataFrame:
+    """The same as joins on (component, row, col, value) for pairs (component, src, dst, weight); node_id, cluster."""
+    ends = [F.struct(F.col(a).alias("row"), F.col(b).alias("col"), w.alias("weight")) for a, b, w in (("src", "dst", F.col("weight").cast("double")), ("dst", "src", F.col("weight").cast("double")), ("src", "src", F.lit(None).cast("double")), ("dst", "dst", F.lit(None).cast("double")))]
+    rows = pairs.select("component", F.explode(F.array(*ends)).alias("e")).groupBy("component", "e.row", "e.col").agg(F.coalesce(F.max("e.weight"), F.lit(1.0)).alias("value"))
+    column = Window.partitionBy("col")
+    m = cut(rows.withColumn("value", F.col("value") / F.sum("value").over(column)), "flow")
+    ended = []
+    for _ in range(100):
+        left = m.select("component", "row", F.col("col").alias("k"), F.col("value").alias("x"))
+        right = m.select(F.col("row").alias("k"), "col", F.col("value").alias("y"))
+        new = left.join(right, "k").groupBy("component", "row", "col").agg(F.pow(F.sum(F.col("x") * F.col("y")), F.lit(inflation)).alias("new"))
+        new = new.withColumn("top", F.max("new").over(column)).where(F.col("new") >= F.when(F.col("top") < LEAST, LEAST * F.col("top")).otherwise(LEAST))
+        new = new.select("component", "row", "col", F.round(F.col("new") / F.sum("new").over(column), DIGITS).alias("new"))
+        both = cut(m.join(new, ["component", "row", "col"], "full"), "flow")
+        moved = F.max(F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("value", F.lit(0.0)))) >= LEAST
+        state = cut(both.groupBy("component").agg(moved.alias("moved")), "moved")
+        rest = state.where("moved").select("component")
+        if state.where("NOT moved").limit(1).count():
+            ended.append(m.join(rest, "component", "left_anti"))
+        if not rest.limit(1).count():
+            break
+        m = both.join(rest, "component", "left_semi").where("new > 0").select("component", "row", "col", F.col("new").alias("value"))
+    else:
+        ended.append(m)
+    flow = ended[0]
+    for e in ended[1:]:
+        flow = flow.unionByName(e)
+    # The attractor of each node; ties to the smallest.
+    to = cut(flow.groupBy("col").agg(F.max(F.struct("value", (-F.col("row")).alias("m"))).alias("b")).select(F.col("col").alias("node_id"), F.col("b.m").alias("to")), "to")
+    return to.join(to.groupBy("to").agg(F.min("node_id").alias("cluster")), "to").select("node_id", "cluster")
+
+
 def markov_clusters(pairs: DataFrame, inflation: float = 2.0, most: int = 2000) -> DataFrame:
     """node_id, cluster (its smallest member): expansion and inflation of each component's flow, self loops added.
 
-    Components of more than `most` nodes are one cluster each: the flow's matrix would be too large for a task.
+    Components of more than `most` nodes, whose matrix would be too large for a task, go through joins by the same law.
     """
     parts = cut(components(pairs), "components")
     large = parts.groupBy("component").count().where(F.col("count") > most).select("component")
@@ -83,8 +122,11 @@ def markov_clusters(pairs: DataFrame, inflation: float = 2.0, most: int = 2000)
         out["cluster"] = out.groupby("to")["node_id"].transform("min")
         return out[["node_id", "cluster"]]
 
-    small = rows.groupBy("component").applyInPandas(flow, "node_id long, cluster long")
-    return small.unionByName(parts.join(large, "component", "left_semi").select("node_id", F.col("component").alias("cluster")))
+    out = rows.groupBy("component").applyInPandas(flow, "node_id long, cluster long")
+    if large.limit(1).count():
+        wide = pairs.join(parts.withColumnRenamed("node_id", "src"), "src").join(large, "component", "left_semi")
+        out = out.unionByName(_markov_joins(wide, inflation))
+    return out
 
 
 def _renamed(d: Dag, level: int, to: DataFrame) -> Dag:
