@@ -5,7 +5,7 @@ what is broadcast is bounded whatever the benchmark's size; a larger benchmark t
 Hits on the 64-bit hash are verified against the window's words.
 
 Cases: a null text or one without words has no hits. An item with fewer words than a window is one window; an
-item without words or with a null item_id is none. Repeated documents are reported each; repeated items once.
+item without words is none. Items with a null item_id count as one item without a name in items_sha256. Repeated documents are reported each; repeated items once.
 An empty benchmark leaves every document clean. Other columns are ignored.
 """
 
@@ -41,7 +41,7 @@ def item_windows(benchmark: DataFrame, n: int) -> DataFrame:
                 for k in range(len(texts)):
                     a, z = int(w.first[k]), int(w.first[k + 1])
                     size = min(n, z - a)
-                    if not size or not ids[row + k].is_valid:
+                    if not size:
                         continue
                     words = [w.word(i) for i in range(a, z)]
                     for i, x in enumerate(windows(h[a:z], size).view(np.int64)):
@@ -97,7 +97,7 @@ def _scan(tables):
                             e.append(a + n)
                     starts.append(s)
                     ends.append(e)
-                    items.append(sorted({i for f in hit for i in f[2]}))
+                    items.append(sorted({i for f in hit for i in f[2]}, key=lambda i: (i is not None, i)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, end - row), pa.array(np.diff(w.first)), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "n_words", "from_word", "to_word", "items"])
 
     return scan
