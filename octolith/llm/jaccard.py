@@ -12,8 +12,10 @@ signature (the links found so give provisional components), then every pair in d
 with more than `HOT` classes isn't paired up. It isn't needed for a set that lists enough other parts: each lists
 some more than k + 1, and the argument holds as long as k + 1 of them aren't hot. Sets for which they are, or with
 too few parts that have elements, are joined by a prefix filter (the rarest shingles of each set, by their count over
-these sets; similar sets share one, early enough in both for the rest to suffice), again only across provisional components. Candidate pairs are sifted by counts
-of their shingles in bins, whose differences can't exceed the sets', and then verified on the sets themselves.
+these sets; similar sets share one, early enough in both for the rest to suffice). Where many sets share a shingle this
+goes in rounds: each shingle's sets are paired with one of them, links found merge components, and sets of one component
+needn't be paired any more. When no crowd is left, or a round finds few links, every pair across components is. Candidate pairs are sifted by counts of their shingles in bins, whose differences can't exceed the
+sets', and then verified on the sets themselves.
 
 Cases: null, empty and blank texts have the empty set and are linked with nothing; a text of one to four words has
 its whole sequence as one shingle. Rows that repeat a doc_id are reported each; a null doc_id takes part in
@@ -36,6 +38,11 @@ from octolith.llm.words import SPACED, Words, mix, windows
 
 #: More classes than this behind one signature go the second way.
 HOT = 48
+#: Rounds over the rarest shingles go on while there are more than CROWD pairs across components for each row, and
+#: while a round finds a link for every FEW of the sets.
+CROWD, FEW = 100, 1000
+#: 2 ** COUNTERS counters tell which shingles are rare.
+COUNTERS = 20
 #: Signatures that a task gathers before it sends them on.
 FLUSH = 1_500_000
 NULL_ID = -(2**63)
@@ -124,7 +131,7 @@ def _classes(n: int):
         for b in batches:
             for row, end, texts in text_slices(b):
                 rows = [(class_of(u), len(u), spare(u), sketch(u)) for u in sets(texts, n)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, end - row), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary())))], names=["doc_id", "class", "n", "slack", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, end - row), b.column(2).slice(row, end - row), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary())))], names=["doc_id", "h", "class", "n", "slack", "sketch"])
 
     return run
 
@@ -310,16 +317,47 @@ def _sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
 
-def _exploded(n: int):
-    """Rows (class, text) to one row for each shingle."""
+def _own_sets(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each class of rows (class, text) with its set, once in a task."""
+    met, own = set(), _set_of(n)
+    for b in batches:
+        for c, data in zip(b.column(0).to_pylist(), b.column(1)):
+            if c not in met and (u := own(c, data.as_buffer().to_pybytes())) is not None:
+                met.add(c)
+                yield c, u
+
+
+def _slot(u: np.ndarray) -> np.ndarray:
+    """The counter of each shingle."""
+    return (u >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
+def _counted(n: int):
+    """Rows (class, text) to (slot, count): how many of the task's sets have a shingle there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = set()
-        for b in batches:
-            for c, data in zip(b.column(0).to_pylist(), b.column(1)):
-                if c not in met and (u := _set_of(n)(c, data.as_buffer().to_pybytes())) is not None:
-                    met.add(c)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), c)), pa.array(np.full(len(u), len(u))), pa.array(u.view(np.int64))], names=["class", "n", "shingle"])
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for _, u in _own_sets(n, batches):
+            np.add.at(total, _slot(u), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "count"])
+
+    return run
+
+
+def _prefixes(n: int, counts):
+    """Rows (class, text) to (class, n, i, shingle): the rarest shingles of each set, i their place in its order.
+
+    As many as it takes for two sets that link to share one. A shingle alone at its counter is in no other set.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, u in _own_sets(n, batches):
+            many = counts.value[_slot(u)]
+            i = np.lexsort((u, many))[: len(u) - -(-3 * len(u) // 4) + 1]
+            place = np.flatnonzero(many[i] > 1)
+            if len(place):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), x)) for x in (c, len(u))] + [pa.array(place), pa.array(u[i[place]].view(np.int64))], names=["class", "n", "i", "shingle"])
 
     return run
 
@@ -328,6 +366,18 @@ def _fits(x: str, y: str):
     return 4 * F.least(x, y) >= 3 * F.greatest(x, y)
 
 
+def _early():
+    """What two sets share begins with their first shared shingle, so no more than the rest of either can be common."""
+    return 7 * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= 3 * (F.col("na") + F.col("nb"))
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
 def _several(rows: DataFrame, key: str) -> DataFrame:
     """The rows whose key has more than one component."""
     several = written(rows.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(key), "several")
@@ -338,7 +388,9 @@ def jaccard_links(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class, n) of every document, and links (a, b) whose components are those of all links between classes."""
     spark = docs.sparkSession
     t = texts_only(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    classes = written(t.mapInArrow(_classes(n), "doc_id long, class long, n long, slack int, sketch binary"), "classes")
+    # Many rows may have one doc_id, or none: a text is found again by doc_id and a hash of itself.
+    t = t.withColumn("h", F.xxhash64("text"))
+    classes = written(t.mapInArrow(_classes(n), "doc_id long, h long, class long, n long, slack int, sketch binary"), "classes")
     buckets = min(65536, 2 * parts(spark))
     signed = t.select("text").mapInArrow(_signed(n, buckets), "bucket int, payload binary").repartition(parts(spark), "bucket")
     groups = written(signed.sortWithinPartitions("bucket").mapInArrow(_grouped, GROUPS), "groups")
@@ -346,14 +398,14 @@ def jaccard_links(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     release(spark)
     # Classes that can't do without hot signatures.
     heat = groups.where("hot").select(F.explode("members").alias("class"), "times").groupBy("class").agg(F.sum("times").alias("heat"))
-    one = classes.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("slack").alias("slack"), F.first("sketch").alias("data"))
+    one = classes.where("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("at"), F.first("n").alias("n"), F.first("slack").alias("slack"), F.first("sketch").alias("data"))
     one = written(one.join(heat, "class", "left").withColumn("second", F.coalesce("heat", F.lit(0)) > F.col("slack")).drop("heat", "slack"), "one")
     sketches = one.select("class", "data")
     second = written(one.where("second").select("class", "n"), "second")
 
     def data(wanted: DataFrame) -> DataFrame:
-        at = one.select("class", "doc_id").join(wanted, "class", "left_semi")
-        return written(t.join(at, "doc_id").select("class", F.col("text").cast("binary").alias("data")), "texts")
+        at = one.select("class", "at.doc_id", "at.h").join(wanted, "class", "left_semi")
+        return written(t.join(at, ["doc_id", "h"]).select("class", F.col("text").cast("binary").alias("data")), "texts")
 
     # Each class with the smallest one of its signatures.
     star = groups.select("hot", F.element_at("members", 1).alias("a"), F.element_at("sizes", 1).alias("na"), F.explode(F.expr("slice(arrays_zip(members, sizes), 2, size(members))")).alias("m"))
@@ -366,31 +418,47 @@ def jaccard_links(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     release(spark)
     links = written(passing(near, texts, _set_of(n), _linked), "links")
     release(spark)
+    found = [links]
     label = components(links)
     with_comp = lambda rows: rows.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label")
-    # Pairs across components behind a signature.
+    # By rarest shingles; what is rare is told by a fixed number of counters, as any order that all sets share will do.
+    crowded = texts.join(second.select("class"), "class", "left_semi")
+    counters = crowded.mapInArrow(_counted(n), "slot long, count long").groupBy("slot").agg(F.sum("count").alias("count")).toArrow()
+    counts = np.zeros(1 << COUNTERS, np.int64)
+    counts[counters["slot"].to_numpy()] = counters["count"].to_numpy()
+    prefix = written(crowded.mapInArrow(_prefixes(n, spark.sparkContext.broadcast(counts)), "class long, n long, i long, shingle long"), "prefix")
+    classes_there = second.count()
+    tested = star
+    while True:
+        across = written(_several(written(with_comp(prefix), "across"), "shingle"), "across")
+        each = across.groupBy("shingle", "comp").count().groupBy("shingle").agg(F.sum("count").alias("k"), F.sum(F.col("count") * F.col("count")).alias("s"))
+        rows, crowd = each.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * F.col("k") - F.col("s")) / 2, F.lit(0))).first()
+        if crowd <= CROWD * rows:
+            break
+        # One class of each shingle, another in each round, with the others: as many pairs at most as rows.
+        turn = F.xxhash64("class", "shingle", F.lit(len(found)))
+        lead = across.groupBy("shingle").agg(F.min_by(F.struct(F.col("class").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca")), turn).alias("l")).select("shingle", "l.*")
+        pairs = across.withColumnsRenamed({"class": "b", "n": "nb", "i": "ib", "comp": "cb"}).join(lead, "shingle").where((F.col("ca") != F.col("cb")) & _fits("na", "nb") & _early())
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = written(passing(written(passing(pairs, sketches, _as_is, _near), "near"), texts, _set_of(n), _linked), "links")
+        release(spark)
+        tested, found = tested.union(pairs), [*found, more]
+        label = components(_all(found))
+        if FEW * more.count() < classes_there:
+            across = written(_several(written(with_comp(prefix), "across"), "shingle"), "across")
+            break
+    # Pairs across components behind a signature, and what the rounds left.
     small = groups.where("NOT hot").dropDuplicates(["gid"]).select("gid", F.explode("members").alias("class"))
     small = _several(written(with_comp(small), "small"), "gid").join(sketches, "class").select("gid", "class", "comp", "data")
     pairs = small.repartition(parts(spark), "gid").sortWithinPartitions("gid").mapInArrow(_sifted, "a long, b long")
-    # And by rarest shingles.
-    shingles = written(texts.join(second.select("class"), "class", "left_semi").mapInArrow(_exploded(n), "class long, n long, shingle long"), "shingles")
-    common = written(shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "common")
-    rarest = shingles.join(common, "shingle").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    take = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - (F.col("n") - F.size("s"))
-    # i: the place of a shingle in its set's order, in which those of this set alone come first.
-    prefix = rarest.where(take > 0).select("class", "n", (F.col("n") - F.size("s")).alias("alone"), F.posexplode(F.slice("s", F.lit(1), F.greatest(take, F.lit(1)).cast("int"))).alias("i", "e"))
-    prefix = prefix.select("class", "n", (F.col("alone") + F.col("i")).alias("i"), F.col("e.shingle").alias("shingle"))
-    prefix = written(_several(written(with_comp(prefix), "prefix"), "shingle"), "prefix")
-    x = prefix.select("shingle", F.col("class").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca"))
-    y = prefix.select("shingle", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("comp").alias("cb"))
-    # What two sets share begins with their first shared shingle, so no more than the rest of either can be common.
-    enough = 7 * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= 3 * (F.col("na") + F.col("nb"))
-    by_prefix = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb") & enough).select("a", "b").distinct()
-    pairs = pairs.union(passing(by_prefix, sketches, _as_is, _near)).distinct().join(star, ["a", "b"], "left_anti")
+    x = across.select("shingle", F.col("class").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca"))
+    y = across.select("shingle", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("comp").alias("cb"))
+    by_prefix = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb") & _early()).select("a", "b").distinct()
+    pairs = pairs.union(passing(by_prefix, sketches, _as_is, _near)).distinct().join(tested, ["a", "b"], "left_anti")
     pairs = written(pairs, "pairs")
     rest = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(ends, "class", "left_anti")
     more = written(passing(pairs, texts.union(data(rest)), _set_of(n), _linked), "links")
-    return classes.select("doc_id", "class", "n"), links.union(more)
+    return classes.select("doc_id", "class", "n"), _all([*found, more])
 
 
 def jaccard_components(docs: DataFrame, n: int = 5) -> DataFrame:
