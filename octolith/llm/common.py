@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -24,10 +25,12 @@ def parts(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that setting is unset."""
+    """The folder in spark.checkpoint.dir; in local mode a temporary one where that setting is unset."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='octolith-')}"
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -38,9 +41,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])
+    out = spark.read.schema(df.schema).parquet(path)
+    out._octolith_path = path
+    return out
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes written tables that no later plan starts from, so that they don't take up disk till the session ends."""
+    for t in tables:
+        system, at = _files(t.sparkSession, t._octolith_path)
+        system.delete(at, True)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
