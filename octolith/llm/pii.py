@@ -1,10 +1,11 @@
 """PII: base patterns, and a linear-chain conditional random field over word shapes.
 
-The field is trained on the small labelled table below (gradient of the exact log-likelihood, forward-backward
-over padded batches) and decoded by Viterbi over all lines of a slice at once, in numpy. Its labels are the kinds of
-personal data; features are a word's shape (runs of letters, digits and marks) and flags of the word and of its
-neighbours. A run of words with one label is a span of the method if it could be such data at all (see `_plausible`)
-and overlaps no base span; base spans stay as they are.
+The field is trained on a small labelled table, made by the rules below (gradient of the exact log-likelihood,
+forward-backward over all lines side by side) and decoded by Viterbi over all lines of a slice at once, in numpy. Its
+labels are the kinds of personal data; features are the shape of a word (runs of letters, runs of digits with their
+lengths, and marks), the shapes of its neighbours, and flags of all three. A run of words with one label is a span of
+the method if the posterior of each of its words is at least SURE (a card's digits have to pass Luhn as well) and it
+overlaps no base span; base spans stay as they are.
 
 Spans are `kind:start:end` in code points, end exclusive, by kind (email, ip, card, phone) and start.
 
@@ -15,8 +16,10 @@ Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,56 +67,64 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return [email, ip, card, phone]
 
 
-#: The labelled table: personal data in <kind>..</kind>, everything else is not.
-LABELLED = """
-write to <email>john.smith at example dot com</email> for details
-please mail <email>anna (at) mail (dot) org</email> before noon
-my address is <email>b.jones [at] uni-mainz [dot] de</email> thanks
-contact <email>maria at posta dot es</email> or come by
-reach me under <email>k.weber(at)web.de</email> today
-send it to <email>luc[at]poste[dot]fr</email> and wait
-call <phone>(555) 123-4567</phone> after six
-phone <phone>555-123-4567</phone> or leave a note
-tel: <phone>0171 5551234</phone> evenings
-fax <phone>(030) 555-0199</phone> only
-ring <phone>212.555.0147</phone> now
-my number is <phone>415 555 2671</phone> thanks
-telefon <phone>089/5550123</phone> bitte
-appelez le <phone>01 55 50 12 34</phone> demain
-card <card>4111-1111-1111-1112</card> was charged
-karte <card>5500 0000 0000 0005</card> wurde belastet
-number <card>4012 8888 8888 1882</card> expires soon
-host <ip>2001:db8:0:1:0:0:0:7</ip> is down
-from <ip>fe80:0:0:0:1ff:fe23:4567:890a</ip> we saw it
-login by <ip>10-0-0-12</ip> failed
-we met at the house of an old friend and left at dawn
-he looked at a dot com boom in 1999 and 2001
-the total was 1,234,567.89 in 2019 and 45 in 2020
-see pages 12-15 and 34 (part 2) for the rest
-version 1.2.3 was released on 2021-03-04 at 10:30
-born 12/04/1987 in a town of 12 000 people
-chapter 3: the end (1914-1918) and after
-a (very) long line of words, with commas, and dots.
-isbn 978-3-16-148410-0 is on the shelf
-order 123456 shipped on 01.02.2020 for 99.50
-| a | b | 12 | 13.5 | 14 |
-at the end of the day, at last, at home
-dot by dot the map was drawn at scale 1:50000
-los de la que en un por con 1995 y 1996
-der die das und in 10 Jahren bei 20 Grad
-le la les de un 14 juillet 1789 dans
-key sk-ab12cd34ef56 must stay secret
-id 0x7f3a 12ab34cd 99887766 and so on
-http://www.example.com/a/b?c=1 is a link
-3 4 5 6 7 8 9 10 11 12
-""".strip().split("\n")
+#: What the labelled table is made of: # is a digit, & a word, ~ a name, ^ a hexadecimal group; the rest stands for itself.
+FORMS = {
+    "email": ["~ at & dot ~", "~.~ at & dot ~", "~ (at) & (dot) ~", "~ [at] & [dot] ~", "~.~ [at] &-& [dot] ~", "~(at)&.~", "~[at]&[dot]~", "~.~(at)&.~", "~ at &.~", "~## at & dot ~", "~ punkt ~ at & punkt ~"],
+    "ip": ["^:^:^:^:^:^:^:^", "####:^^##::#", "####:db#::#", "fe80::^:^:^:^", "####:^^#:#:#:#:#:#:#"],
+    "card": ["####-####-####-####", "#### #### #### ####", "####.####.####.####", "#### ###### #####", "#### #### #### #### ###"],
+    "phone": ["(###) ###-####", "(###) ### ####", "(###)###-####", "###-###-####", "###.###.####", "0### #######", "0##/#######", "(0##) ###-####", "(0##) ######", "0# ## ## ## ##", "0#.##.##.##.##", "0## #### ####", "0#### ######", "0###-#######", "00## ## #######"],
+}
+#: Lines around it, in four languages.
+LINES = [
+    "write to {} for details", "call {} after six", "tel: {} evenings", "my number is {} thanks", "{} is what he gave us", "please use {} before noon", "we know {} from the file", "und {} war der Eintrag",
+    "schreib an {} bitte", "sous {} demain", "contacte {} hoy", "{}", "& & {} & &", "& {} &", "&: {}, & &", "& & {}.", "| & | {} | & |", "id ## {} &",
+]
+#: Lines without any.
+OTHERS = [
+    "& & & & & &", "we met at the & of an old & and left at dawn", "he looked at a dot com boom in ####", "the total was #,###,###.## in #### and ## in ####", "see pages ##-## and ## (part #) for the &", "version #.#.# was released on ####-##-## at ##:##",
+    "born ##/##/#### in a & of ## ### people", "chapter #: the & (####-####) and after", "isbn ###-#-##-######-# is on the &", "order ###### shipped on ##.##.#### for ##.##", "| & | & | ## | ##.# | ## |", "at the end of the &, at last, at home",
+    "dot by dot the map was drawn at scale #:#####", "los de la que en un por con #### y ####", "der die das und in ## Jahren bei ## Grad", "le la les de un ## juillet #### dans", "key sk-ab##cd##ef## must stay &", "id 0x#f#a ##ab##cd ######## and so on", "http://www.&.com/&/&?c=# is a &",
+    "# # # # # ## ## ##", "## ### #### ### ##", "&, &. & & (& &) &; &", "### ### ###", "#### #### &", "run at ##:##:## and ##:##:##.###", "& at & & &", "& dot & & at &", "###-### & ##-###", "(###) & (##) &", "### & #### & #### &", "$###.## & ##% &", "####.##.##", "## ## ##", "#,### &",
+    "AB##### & AB##-##", "& ################ &", "0.### & 0.## &", "00 & 0### &", "a:b:c & 1:2:3 &", "&::& & ::", "std::& & x::y", "meet & at ##", "& [##] & (&)", "&(&) & f(x)", "&[&]", "{\"&\": ##, \"&\": #}", "####/##/## ##:##", "+## &", "#-#-#", "##-##-##",
+]
+NAMES = ["anna", "petra", "luc", "maria", "j", "weber", "k", "smith", "oduya", "li", "nguyen", "com", "de", "org", "net", "es", "fr", "info", "uk"]
+WORDS = ["haus", "mail", "firma", "example", "poste", "the", "over", "la", "un", "des", "with", "note", "casa", "river", "Zeit", "Note", "item", "value", "été", "für", "of", "uni", "web"]
+
+
+def labelled_table(seed: int, rows: int = 1200) -> list[str]:
+    """Lines with personal data in <kind>..</kind>, and as many without any, made from the forms by a generator."""
+    g = random.Random(seed)
+
+    def filled(form: str) -> str:
+        hexed = lambda: "".join(g.choice("0123456789abcdef") for _ in range(g.randint(1, 4)))
+        own = {"#": lambda: g.choice("0123456789"), "&": lambda: g.choice(WORDS), "~": lambda: g.choice(NAMES), "^": hexed}
+        return "".join(own[c]() if c in own else c for c in form)
+
+    def data(kind: str) -> str:
+        text = filled(g.choice(FORMS[kind]))
+        while kind == "card" and not _luhn(re.sub("[^0-9]", "", text)):
+            text = filled(g.choice(FORMS[kind]))
+        return f"<{kind}>{text.upper() if kind == 'email' and g.random() < 0.1 else text}</{kind}>"
+
+    out = []
+    for i in range(rows):
+        plain = filled(g.choice(OTHERS if i % 2 else LINES).replace("{}", "\0")).split("\0")
+        out.append(data(KINDS[i // 2 % len(KINDS)]).join(plain) if len(plain) == 2 else plain[0])
+    return out
+
+
+#: Of a span of the method, the posterior of each word is this at least.
+SURE = 0.7
 
 _B = np.arange(256)
 #: Shape of a byte: letters x, digits d, other bytes themselves.
 _SHAPE = np.where(((_B | 32) >= 97) & ((_B | 32) <= 122) | (_B >= 128), 120, np.where((_B >= 48) & (_B <= 57), 100, _B)).astype(np.uint8)
 _SPACE = np.isin(_B, [9, 10, 11, 12, 13, 32])
 _AT, _DOT = re.compile(rb"[\[(]?at[\])]?", re.I), re.compile(rb"[\[(]?(?:dot|punkt|punto|point)[\])]?", re.I)
-_FLAGS = 12
+_TAIL = np.isin(_B, [*b".,;:!?"])
+_HEX = np.isin(_B | 32, [*range(97, 103)]) | (_B >= 48) & (_B <= 57)
+#: Flags of a word, in two tables of combinations.
+_FLAGS, _LOW = 18, 9
 _BUCKETS = 1 << 12
 
 
@@ -133,12 +144,22 @@ class Tokens:
         shape = _SHAPE[data]
         turn = np.r_[True, shape[1:] != shape[:-1]] if len(data) else inside
         turn[self.start] = True
+        turn |= (shape != 120) & (shape != 100)  # marks each by themselves
         kept = np.flatnonzero(turn & inside)
         first = np.searchsorted(kept, self.start)
         code = np.zeros(n, np.uint64)
         if n:  # a hash of the word's shape, its runs in order
             place = (np.arange(len(kept)) - np.repeat(first, np.diff(np.r_[first, len(kept)]))).astype(np.uint64)
-            code = np.add.reduceat((shape[kept].astype(np.uint64) + np.uint64(1)) * (place * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)), first)
+            long = np.diff(np.r_[kept, len(data)])
+            long = np.minimum(long, self.end[np.searchsorted(self.start, kept, "right") - 1] - kept)
+            # Marks at a word's end don't count.
+            last = self.end - 1
+            strip = _TAIL[data[last]] & (self.end - self.start > 1)
+            drop = np.zeros(len(data), bool)
+            drop[last[strip]] = True
+            symbol = shape[kept].astype(np.uint64) + np.uint64(1) + np.where(shape[kept] == 100, np.minimum(long, 7), 0).astype(np.uint64) * np.uint64(256)
+            symbol[drop[kept]] = 0
+            code = np.add.reduceat(symbol * (place * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)), first)
         self.shape = ((code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(52)).astype(np.int64) % _BUCKETS
         size = self.end - self.start
         owner = lambda places: np.searchsorted(self.start, places, "right") - 1
@@ -153,34 +174,70 @@ class Tokens:
             for i in np.flatnonzero((letters >= 2) & (letters <= 5) & (size <= 7) & (digits == 0) & ((letters < size) | (size == 2) & (head == 97) | (size > 2) & np.isin(head, (100, 112)))):
                 w = data[self.start[i] : self.end[i]].tobytes()
                 is_at[i], is_dot[i] = bool(_AT.fullmatch(w)), bool(_DOT.fullmatch(w))
-        flags = [np.ones(n, bool), letters == size, (digits == size) & (size <= 2), (digits == size) & (size == 3), (digits == size) & (size == 4), (digits == size) & (size > 4), (digits >= 7) & (digits <= 12), digits >= 13, (count("(") > 0) & (count(")") > 0), is_at, is_dot, count(":") >= 4]
+        colons = count(":")
+        hexed = np.bincount(owner(np.flatnonzero(inside & (_HEX[data] | (data == 58)))), minlength=n) == size
+        # (at) inside a word, after something
+        inner = np.zeros(n, bool)
+        opening = np.flatnonzero(np.isin(data[:-3], (40, 91)) & (data[1:-2] | 32 == 97) & (data[2:-1] | 32 == 116) & np.isin(data[3:], (41, 93))) if len(data) > 3 else at[:0]
+        opening = opening[inside[opening]]
+        inner[owner(opening)] = self.start[owner(opening)] < opening
+        begins = data[self.start] if n else data
+        flags = [np.ones(n, bool), letters == size, (digits == size) & (size <= 2), (digits == size) & (size == 3), (digits == size) & (size == 4), (digits == size) & (size > 4), (digits >= 7) & (digits <= 12), digits >= 13, (count("(") > 0) & (count(")") > 0)]
+        flags += [is_at, is_dot, colons >= 4, hexed & (colons >= 2) & (digits < size - colons), hexed & (colons >= 2), inner, (begins == 48) & (digits >= 2), self._beside(is_dot, 2, at) & is_at, self._beside(is_at, -2, at) & is_dot]
         self.flags = sum((f.astype(np.int64) << i for i, f in enumerate(flags)), np.zeros(n, np.int64))
         line = np.cumsum(data == 10)[self.start] if n else np.zeros(0, np.int64)
         self.first = np.r_[True, (np.diff(line) != 0) | (np.diff(self.doc) != 0)] if n else np.zeros(0, bool)
 
+    def _beside(self, flag: np.ndarray, step: int, at: np.ndarray) -> np.ndarray:
+        """The flag of the word that many words on, in the same text."""
+        to = np.arange(len(flag)) + step
+        ok = (to >= 0) & (to < len(flag))
+        to = np.where(ok, to, 0)
+        return ok & flag[to] & (self.doc[to] == self.doc) if len(flag) else flag
+
     def around(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flags (as bits) of each word, of the one before and of the one after it in its line."""
-        before, after = np.zeros_like(self.flags), np.zeros_like(self.flags)
-        before[1:], after[:-1] = self.flags[:-1], self.flags[1:]
-        before[self.first] = 0
-        after[:-1][self.first[1:]] = 0
-        return self.flags, before, after
+        return self._around(self.flags, 0)
+
+    def shapes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of the shapes of the same; a line has an edge of a bucket of its own."""
+        return self._around(self.shape, _BUCKETS)
+
+    def _around(self, x: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        before, after = np.full_like(x, edge), np.full_like(x, edge)
+        before[1:], after[:-1] = x[:-1], x[1:]
+        before[self.first] = edge
+        after[:-1][self.first[1:]] = edge
+        return x, before, after
+
+
+_COMBINATIONS = (np.arange(1 << _LOW)[:, None] >> np.arange(_LOW) & 1).astype(np.float64)
+
+
+def _bits(flags: np.ndarray) -> np.ndarray:
+    return np.concatenate([_COMBINATIONS[flags & (1 << _LOW) - 1], _COMBINATIONS[flags >> _LOW]], 1)
 
 
-_COMBINATIONS = (np.arange(1 << _FLAGS)[:, None] >> np.arange(_FLAGS) & 1).astype(np.float64)
+def _lse(v: np.ndarray, axis: int) -> np.ndarray:
+    m = v.max(axis, keepdims=True)
+    return m.squeeze(axis) + np.log(np.exp(v - m).sum(axis))
 
 
 class Field:
-    """Weights: of the shape's bucket, of the flags, and from label to label (label 0 is none)."""
+    """Weights: of the shapes' buckets, of the flags, and from label to label (label 0 is none)."""
 
     def __init__(self):
         k = len(KINDS) + 1
-        self.shape, self.flag, self.step = np.zeros((_BUCKETS, k)), np.zeros((3 * _FLAGS, k)), np.zeros((k, k))
+        self.shape, self.flag, self.step = np.zeros((3, _BUCKETS + 1, k)), np.zeros((3 * _FLAGS, k)), np.zeros((k, k))
 
     def scores(self, t: Tokens) -> np.ndarray:
-        out = self.shape[t.shape]
+        out = np.zeros((len(t.start), len(KINDS) + 1))
         for i, bits in enumerate(t.around()):
-            out = out + (_COMBINATIONS @ self.flag[i * _FLAGS : (i + 1) * _FLAGS])[bits]
+            w = self.flag[i * _FLAGS : (i + 1) * _FLAGS]
+            out += (_COMBINATIONS @ w[:_LOW])[bits & (1 << _LOW) - 1]
+            out += (_COMBINATIONS @ w[_LOW:])[bits >> _LOW]
+        for i, bucket in enumerate(t.shapes()):
+            out += self.shape[i][bucket]
         return out
 
     @staticmethod
@@ -226,69 +283,95 @@ class Field:
                 label = np.take_along_axis(back[i - 1], label[:, None], 1)[:, 0]
         return out
 
-    def fit(self, t: Tokens, gold: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> None:
-        """Gradient ascent (scaled by Adagrad) on the log-likelihood of the gold labels."""
-        (at, n), k = self.lines(t), len(KINDS) + 1
-        x = np.concatenate([_COMBINATIONS[bits] for bits in t.around()], 1)
-        sums = [np.full(w.shape, 1e-8) for w in (self.shape, self.flag, self.step)]
-        hot = np.eye(k)[gold]
-        inner = np.flatnonzero(~t.first)
-        seen = np.zeros((k, k))
+    def marginals(self, e: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the lines at `at` (longest first): posteriors of their words' labels, alpha, beta and log Z at each word."""
+        alpha, beta, z = np.zeros_like(e), np.zeros_like(e), np.zeros(len(e))
+        alpha[at] = e[at]
+        live = np.searchsorted(-n, -np.arange(int(n[0]) + 1), "left").tolist()  # lines with more than i words
+        for i in range(1, int(n[0])):
+            a = at[: live[i]] + i
+            alpha[a] = _lse(alpha[a - 1][:, :, None] + self.step, 1) + e[a]
+        for i in range(int(n[0]) - 2, -1, -1):
+            a = at[: live[i + 1]] + i
+            beta[a] = _lse(self.step + (e[a + 1] + beta[a + 1])[:, None, :], 2)
+        total = _lse(alpha[at + n - 1], 1)
+        for i in range(int(n[0])):
+            z[at[: live[i]] + i] = total[: live[i]]
+        return np.exp(alpha + beta - z[:, None]), alpha, beta, z
+
+    def gradient(self, t: Tokens, gold: np.ndarray, x: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The log-likelihood of the gold labels, and its slope in each weight. x: the flags of each word, around() side by side."""
+        at, n = self.lines(t)
+        e, inner = self.scores(t), np.flatnonzero(~t.first)
+        p, alpha, beta, z = self.marginals(e, at, n)
+        pair = np.exp(alpha[inner - 1][:, :, None] + self.step + (e[inner] + beta[inner])[:, None, :] - z[inner][:, None, None]).sum(0)
+        seen = np.zeros_like(self.step)
         np.add.at(seen, (gold[inner - 1], gold[inner]), 1)
-        lse = lambda v, axis: (m := v.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(v - m).sum(axis))
+        value = e[np.arange(len(gold)), gold].sum() + (seen * self.step).sum() - z[at].sum()
+        rest = np.eye(len(self.step))[gold] - p
+        shape = np.zeros_like(self.shape)
+        for i, bucket in enumerate(t.shapes()):
+            np.add.at(shape[i], bucket, rest)
+        return float(value), [shape, x.T @ rest, seen - pair]
+
+    def fit(self, t: Tokens, gold: np.ndarray, rounds: int = 100, rate: float = 0.5, decay: float = 0.005) -> None:
+        """Gradient ascent (scaled by Adagrad) on the log-likelihood of the gold labels."""
+        weights, x = (self.shape, self.flag, self.step), np.concatenate([_bits(b) for b in t.around()], 1)
+        sums = [np.full(w.shape, 1e-8) for w in weights]
         for _ in range(rounds):
-            e = self.scores(t)
-            alpha, beta = np.zeros_like(e), np.zeros_like(e)
-            alpha[at] = e[at]
-            for i in range(1, int(n[0])):
-                a = at[n > i] + i
-                alpha[a] = lse(alpha[a - 1][:, :, None] + self.step, 1) + e[a]
-            for i in range(int(n[0]) - 2, -1, -1):
-                a = at[n > i + 1] + i
-                beta[a] = lse(self.step + (e[a + 1] + beta[a + 1])[:, None, :], 2)
-            z = np.zeros(len(e))
-            for a, m in zip(at, n):
-                z[a : a + m] = lse(alpha[a + m - 1][None], 1)[0]
-            p = np.exp(alpha + beta - z[:, None])
-            pair = np.exp(alpha[inner - 1][:, :, None] + self.step + (e[inner] + beta[inner])[:, None, :] - z[inner][:, None, None]).sum(0)
-            g = [np.zeros_like(self.shape), x.T @ (hot - p), seen - pair]
-            np.add.at(g[0], t.shape, hot - p)
-            for w, d, s in zip((self.shape, self.flag, self.step), g, sums):
+            for w, d, s in zip(weights, self.gradient(t, gold, x)[1], sums):
                 d -= decay * w
                 s += d * d
                 w += rate * d / np.sqrt(s)
 
 
-def train(table: list[str] = LABELLED) -> Field:
+def labelled(table: list[str]) -> tuple[Tokens, np.ndarray]:
+    """The words of a labelled table and their labels."""
     texts, labels = [], []
     for row in table:
-        label, plain = 0, []
+        plain, spans, at = "", [], 0
         for part in re.split(r"(</?[a-z]+>)", row):
             if m := re.fullmatch(r"<(/?)([a-z]+)>", part):
-                label = 0 if m[1] else 1 + KINDS.index(m[2])
+                if m[1]:
+                    spans.append((at, len(plain), 1 + KINDS.index(m[2])))
+                at = len(plain)
             else:
-                plain.append(part)
-                labels += [label] * len(part.split())
-        texts.append("".join(plain))
-    t = Tokens(*raw(pa.array(texts)))
+                plain += part
+        texts.append(plain)
+        labels += [next((k for a, z, k in spans if m.start() < z and m.end() > a), 0) for m in re.finditer(r"\S+", plain)]
+    return Tokens(*raw(pa.array(texts))), np.array(labels)
+
+
+@lru_cache(maxsize=1)
+def train(seed: int = 1) -> Field:
     field = Field()
-    field.fit(t, np.array(labels))
+    field.fit(*labelled(labelled_table(seed)))
     return field
 
 
-def _plausible(kind: int, text: bytes) -> bool:
-    """Whether a span that the field found has what such data can't be without."""
-    digits = sum(48 <= c < 58 for c in text)
-    if kind == 1:
-        return bool(re.search(rb"[A-Za-z0-9]\s*[\[(]\s*at\s*[\])]\s*[A-Za-z0-9]|[a-z0-9]\s+at\s+[a-z0-9-]+\s+[\[(]?dot[\])]?\s+[a-z]", text, re.I)) and b"." in text + (b"." if re.search(rb"dot", text, re.I) else b"")
-    if kind == 2:
-        return text.count(b":") == 7 and bool(re.fullmatch(rb"[0-9a-fA-F:]+", text))
-    if kind == 3:
-        return 16 <= digits <= 19 and bool(re.fullmatch(rb"[0-9 .-]+", text)) and _luhn(re.sub(rb"[^0-9]", b"", text).decode())
-    return 9 <= digits <= 12 and bool(re.fullmatch(rb"\(\d{2,5}\) ?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{1,4}[ /-]\d{2,8}(?: \d{2}){0,3}", text))
+_TRIM = b".,;:!?\"'"
 
 
-_TRIM = b".,;:!?\"'"
+def spans_of(field: Field, texts: pa.Array) -> dict[int, list[tuple[int, int, int]]]:
+    """Of each text, the spans (kind, start, end in bytes) that the field is sure of."""
+    data, at = raw(texts)
+    t = Tokens(data, at)
+    label = field.decode(t)
+    if not label.any():
+        return {}
+    lines, n = field.lines(t, label > 0)
+    sure = field.marginals(field.scores(t), lines, n)[0][np.arange(len(label)), label]
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    starts = np.flatnonzero(np.r_[True, label[1:] != label[:-1]] | t.first)
+    for a, z in zip(starts, np.r_[starts[1:], len(label)]):
+        if label[a] and sure[a:z].min() >= SURE:
+            s, e = int(t.start[a]), int(t.end[z - 1])
+            part = data[s:e].tobytes()
+            s += len(part) - len(part.lstrip(_TRIM))
+            part = part.strip(_TRIM)
+            if KINDS[label[a] - 1] != "card" or _luhn(re.sub(rb"[^0-9]", b"", part).decode()):
+                found.setdefault(int(t.doc[a]), []).append((int(label[a]) - 1, s - int(at[t.doc[a]]), s - int(at[t.doc[a]]) + len(part)))
+    return found
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -296,21 +379,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     field = docs.sparkSession.sparkContext.broadcast(train())
 
     def method_spans(texts: pa.Array) -> dict[int, list[tuple[int, int, int]]]:
-        data, at = raw(texts)
-        t = Tokens(data, at)
-        label = field.value.decode(t)
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        new = np.r_[True, label[1:] != label[:-1]] | t.first if len(label) else np.zeros(0, bool)
-        starts = np.flatnonzero(new)
-        for a, z in zip(starts, np.r_[starts[1:], len(label)]):
-            if label[a]:
-                s, e = int(t.start[a]), int(t.end[z - 1])
-                part = data[s:e].tobytes()
-                s += len(part) - len(part.lstrip(_TRIM))
-                part = part.strip(_TRIM)
-                if _plausible(int(label[a]), part):
-                    found.setdefault(int(t.doc[a]), []).append((int(label[a]) - 1, s - int(at[t.doc[a]]), s - int(at[t.doc[a]]) + len(part)))
-        return found
+        return spans_of(field.value, texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
