@@ -1,20 +1,23 @@
-"""Best-fit packing of tokenised documents into sequences of bounded length.
+"""Best-fit packing of tokenised documents into sequences of bounded length, in bulk-synchronous rounds.
 
-Documents and gaps are sorted by length into classes: pieces of one length, sequences with one gap. A round
-takes the longest unplaced length and sweeps to the smallest gap that holds it (its successor); if more pieces want
-the gap than there are, rank decides, and the rest goes to the next gap or opens sequences; the gaps are
-updated and the next round follows. A round moves whole ranges of ranks, so the plan is a list of ranges (length,
-ranks from .. to) -> (sequences from .., offset). Its size depends on the sequence length alone: each step uses up
-a length or a range of gaps. The histogram and the plan are all that the driver holds; ranks are given and
-looked up on the executors, where the pieces stay.
+Documents and gaps stand sorted by length, as classes: pieces of one length, sequences with one gap. In a round every
+unplaced length looks at once for its successor, the smallest gap that holds it (a sweep over both sorted lists); of the
+pieces that want the same gap, rank decides (longer ones first, then by their place), the others try again in the next
+round; the gaps are updated, and the next round follows. A length that no gap holds opens sequences, the longest first.
+Lengths above half the capacity open theirs to begin with; then lengths take part by halves (those above a quarter, an
+eighth and so on), so short pieces fill what is left of the gaps of long ones.
+
+A class is a row of at most `capacity` rows, so the sweeps run over two arrays of bounded size, which the driver holds
+whatever the number of pieces; a round moves whole ranges of ranks, and the plan is a list of ranges (length, ranks from
+.. to) -> (sequences from .., offset). Ranks are given and looked up on the executors, where the pieces stay.
 
 Cases: a null text is an empty one: its only token is the end mark. Repeated rows are packed each. Null doc_id:
-as any other. An empty table gives no rows. Other columns are ignored.
+as any other. An empty table gives no rows. Other columns are ignored. Any vocabulary in the tokenizers format will do.
 """
 
 from __future__ import annotations
 
-import bisect
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -43,10 +46,23 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: The tokenizer for which `Ids` knows the pre-tokens itself: how it normalises, splits and ends words.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    No pre-token of this vocabulary's tokenizer spans white space, so the ids of a text of ASCII and Latin-1
+    A vocabulary whose tokenizer isn't KNOWN gets every text whole. No pre-token of the known one spans white space, so the ids of a text of ASCII and Latin-1
     letters are those of its words, which are remembered; a new word is cut into pre-tokens here and only the
     merges are left to the tokenizer. Any other text goes to the tokenizer whole.
     """
@@ -57,6 +73,8 @@ class Ids:
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        config = json.loads(self.tokenizer.to_str())
+        self.quick = all(config[k] == v for k, v in KNOWN.items()) and config["model"]["type"] == "BPE" and all(a["content"].startswith("<|") for a in config["added_tokens"])
         self.known: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
         # A byte is a printable character to the merges: itself, or 256 and up by turn.
@@ -78,7 +96,7 @@ class Ids:
         return ids
 
     def of(self, text: str) -> bytes:
-        if not self.plain(text):
+        if not self.quick or not self.plain(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.lower().split()
         if len(self.known) > REMEMBERED:
@@ -90,39 +108,70 @@ class Ids:
         return b"".join(map(self.known.__getitem__, words))
 
 
+def _sweep(lengths: np.ndarray, left: np.ndarray, gaps: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One matching of lengths (longest first) with gaps (smallest first): each length's successor, and how many get it.
+
+    Of the lengths with one successor the longer ones come first, as long as there are sequences with that gap.
+    """
+    to = np.searchsorted(gaps, lengths)
+    before = np.cumsum(left) - left
+    first = np.r_[True, to[1:] != to[:-1]]
+    before -= np.repeat(before[first], np.diff(np.r_[np.flatnonzero(first), len(to)]))
+    there = np.where(to < len(gaps), free[np.minimum(to, len(gaps) - 1)] if len(gaps) else 0, 0)
+    return to, np.clip(there - before, 0, left)
+
+
 def best_fit(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Ranges (length, first rank, pieces, first sequence, offset) that place all pieces."""
     gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> ranges of sequences (first, number)
-    sizes: list[int] = []
+    free = np.zeros(capacity + 1, np.int64)  # sequences by gap
+    left = np.zeros(capacity + 1, np.int64)
+    left[list(lengths)] = list(lengths.values())
+    rank = np.zeros(capacity + 1, np.int64)
     plan, sequences = [], 0
 
     def put(gap: int, first: int, n: int) -> None:
-        if gap not in gaps:
-            gaps[gap] = []
-            bisect.insort(sizes, gap)
-        gaps[gap].append((first, n))
-
-    for length in sorted(lengths, reverse=True):
-        left, rank = lengths[length], 0
-        while left:
-            i = bisect.bisect_left(sizes, length)
-            if i == len(sizes):
-                n = -(-left // (capacity // length))
+        if gap:
+            gaps.setdefault(gap, []).append((first, n))
+            free[gap] += n
+
+    def place(length: int, n: int, gap: int) -> list[tuple[int, int, int]]:
+        """n pieces into sequences with that gap; the gaps that come of it."""
+        made = []
+        while n:
+            first, have = gaps[gap].pop()
+            take = min(n, have)
+            if have > take:
+                gaps[gap].append((first + take, have - take))
+            free[gap] -= take
+            plan.append((length, int(rank[length]), take, first, capacity - gap))
+            made.append((gap - length, first, take))
+            rank[length] += take
+            left[length] -= take
+            n -= take
+        return made
+
+    bound = capacity  # lengths above half of it take part
+    while left.any():
+        while True:
+            live = np.flatnonzero(left[bound // 2 + 1 :])[::-1] + bound // 2 + 1
+            if not len(live):
+                break
+            have = np.flatnonzero(free)
+            to, take = _sweep(live, left[live], have, free[have])
+            made = []
+            for i in np.flatnonzero(take):
+                made += place(int(live[i]), int(take[i]), int(have[to[i]]))
+            for x in made:
+                put(*x)
+            # Without a gap: all of the lengths that need sequences of their own, or else the longest.
+            for length in live[to == len(have)].tolist()[: None if bound == capacity else 1]:
+                n = -(-int(left[length]) // (capacity // length))
                 put(capacity, sequences, n)
                 sequences += n
-                continue
-            gap = sizes[i]
-            first, n = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap], sizes[i]
-            take = min(left, n)
-            if n > take:
-                put(gap, first + take, n - take)
-            plan.append((length, rank, take, first, capacity - gap))
-            if gap > length:
-                put(gap - length, first, take)
-            left -= take
-            rank += take
+                for x in place(length, min(n, int(left[length])), capacity):
+                    put(*x)
+        bound //= 2
     return plan
 
 
