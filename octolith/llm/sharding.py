@@ -66,7 +66,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     spark = docs.sparkSession
     text = F.col("text").cast("binary")
-    base = texts_only(docs).select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("digest"))
+    base = texts_only(docs).select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("digest"), F.monotonically_increasing_id().alias("place"))
     base = written(base, "sizes")
     groups = base.groupBy("digest").agg(F.sum("size").alias("bytes"))
     buckets = max(1, -(-base.count() // BUCKET))
@@ -101,7 +101,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
         else:
             place = step.join(place.select(F.col("bucket").alias("upper"), F.col("slot").alias("upper_slot"), "shard"), ["upper", "upper_slot"]).select("bucket", "slot", "shard")
     placed = low.select("digest", F.col("slot").alias("shard")) if place is None else low.join(place, ["bucket", "slot"]).select("digest", "shard")
-    rows = written(base.join(placed, "digest").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(16 * parts(spark))).alias("chunk")), "shards")
+    rows = written(base.join(placed, "digest").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32", "place"), F.lit(16 * parts(spark))).alias("chunk")), "shards")
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offset = rows.groupBy("shard", "chunk").agg(F.count("*").alias("n")).select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32"))
