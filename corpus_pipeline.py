@@ -3,6 +3,11 @@
 Each stage gets the rows that the one before kept, as a table written to the shared folder and read again. All but the
 last return the columns of documents. They decide on each row by a number of its own, so rows with null or repeated
 doc_ids stay or go each by themselves.
+
+Cases: null, empty and letterless texts go in the first stage. Of equal texts one row stays, whatever its doc_id, also
+where all of them have none or the same one; likewise of near copies. Very long texts are read whole. An empty table
+gives no rows at every stage. Columns beyond doc_id and text are kept as they are, also ones named like those the
+operators make.
 """
 
 from __future__ import annotations
