@@ -456,7 +456,7 @@ def jaccard_links(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     by_prefix = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb") & _early()).select("a", "b").distinct()
     pairs = pairs.union(passing(by_prefix, sketches, _as_is, _near)).distinct().join(tested, ["a", "b"], "left_anti")
     pairs = written(pairs, "pairs")
-    drop(groups, prefix, across, second)
+    drop(groups, prefix, across)
     rest = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(ends, "class", "left_anti")
     more = written(passing(pairs, texts.union(data(rest)), _set_of(n), _linked), "links")
     return classes.select("doc_id", "class", "n"), _all([*found, more])

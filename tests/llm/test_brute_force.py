@@ -351,4 +351,5 @@ def test_agreeing_windows_against_all_pairs():
 
         for enough in (1, 2, 3):
             want = [len({int(rows["f"][j]) for j in range(n) if pair[i] == pair[j] and (i == j or over(i, j))}) >= enough for i in range(n)]
-            assert passages.agreeing(rows, pair, enough).tolist() == want
+            assert passages.agreeing(rows, pair, enough, np.arange(n)).tolist() == np.flatnonzero(want).tolist()
+            assert passages.agreeing(rows, pair, enough, np.arange(0, n, 3)).tolist() == [i for i in range(0, n, 3) if want[i]]
