@@ -13,7 +13,7 @@ with more than `HOT` classes isn't paired up. It isn't needed for a set that lis
 some more than k + 1, and the argument holds as long as k + 1 of them aren't hot. Sets for which they are, or with
 too few parts that have elements, are joined by a prefix filter (the rarest shingles of each set, by their count over
 these sets; similar sets share one, early enough in both for the rest to suffice). Where many sets share a shingle this
-goes in rounds: each shingle's sets are paired with one of them, links found merge components, and sets of one component
+goes in rounds: each shingle's sets are paired with a few of them, links found merge components, and sets of one component
 needn't be paired any more. When no crowd is left, or a round finds few links, every pair across components is. Candidate pairs are sifted by counts of their shingles in bins, whose differences can't exceed the
 sets', and then verified on the sets themselves.
 
@@ -41,6 +41,8 @@ HOT = 48
 #: Rounds over the rarest shingles go on while there are more than CROWD pairs across components for each row, and
 #: while a round finds a link for every FEW of the sets.
 CROWD, FEW = 100, 1000
+#: Classes of a shingle that a round pairs with the others.
+LEADS = 8
 #: 2 ** COUNTERS counters tell which shingles are rare.
 COUNTERS = 20
 #: Signatures that a task gathers before it sends them on.
@@ -332,19 +334,45 @@ def _slot(u: np.ndarray) -> np.ndarray:
     return (u >> np.uint64(64 - COUNTERS)).astype(np.int64)
 
 
+#: Counters travel in so many parts.
+_PARTS = 64
+
+
 def _counted(n: int):
-    """Rows (class, text) to (slot, count): how many of the task's sets have a shingle there."""
+    """Rows (class, text) to (part, counts): how many of the task's sets have a shingle at each counter of a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTERS, np.int64)
         for _, u in _own_sets(n, batches):
             np.add.at(total, _slot(u), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "count"])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(_PARTS, dtype=np.int32)), pa.array([_thin(x) for x in total.reshape(_PARTS, -1)], pa.binary())], names=["part", "counts"])
 
     return run
 
 
+def _thin(counts: np.ndarray) -> bytes:
+    """Places and values of what isn't 0."""
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint32).tobytes() + counts[at].tobytes()
+
+
+def _thick(data: bytes) -> np.ndarray:
+    n = len(data) // 12
+    out = np.zeros((1 << COUNTERS) // _PARTS, np.int64)
+    out[np.frombuffer(data, np.uint32, n)] = np.frombuffer(data, np.int64, n, 4 * n)
+    return out
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, data in zip(b.column(0).to_pylist(), b.column(1)):
+            total[part] = total.get(part, 0) + _thick(data.as_py())
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_thin(x) for x in total.values()], pa.binary())], names=["part", "counts"])
+
+
 def _prefixes(n: int, counts):
     """Rows (class, text) to (class, n, i, shingle): the rarest shingles of each set, i their place in its order.
 
@@ -423,9 +451,11 @@ def jaccard_links(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     with_comp = lambda rows: rows.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label")
     # By rarest shingles; what is rare is told by a fixed number of counters, as any order that all sets share will do.
     crowded = texts.join(second.select("class"), "class", "left_semi")
-    counters = crowded.mapInArrow(_counted(n), "slot long, count long").groupBy("slot").agg(F.sum("count").alias("count")).toArrow()
-    counts = np.zeros(1 << COUNTERS, np.int64)
-    counts[counters["slot"].to_numpy()] = counters["count"].to_numpy()
+    counters = crowded.mapInArrow(_counted(n), "part int, counts binary").repartition(_PARTS, "part").mapInArrow(_summed, "part int, counts binary")
+    counts = np.zeros((_PARTS, (1 << COUNTERS) // _PARTS), np.int64)
+    for r in counters.collect():  # a row a part
+        counts[r.part] = _thick(bytes(r.counts))
+    counts = counts.ravel()
     prefix = written(crowded.mapInArrow(_prefixes(n, spark.sparkContext.broadcast(counts)), "class long, n long, i long, shingle long"), "prefix")
     classes_there = second.count()
     tested = star
@@ -435,9 +465,10 @@ def jaccard_links(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
         rows, crowd = each.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * F.col("k") - F.col("s")) / 2, F.lit(0))).first()
         if crowd <= CROWD * rows:
             break
-        # One class of each shingle, another in each round, with the others: as many pairs at most as rows.
-        turn = F.xxhash64("class", "shingle", F.lit(len(found)))
-        lead = across.groupBy("shingle").agg(F.min_by(F.struct(F.col("class").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca")), turn).alias("l")).select("shingle", "l.*")
+        # A few classes of each shingle, others in each round, with the rest: LEADS pairs at most for each row. Those that
+        # have the shingle early enough for sets of their own size come first.
+        turn = F.struct(7 * F.col("i") > F.col("n"), F.xxhash64("class", "shingle", F.lit(len(found))))
+        lead = across.groupBy("shingle", F.pmod(F.xxhash64("class", F.lit(len(found))), F.lit(LEADS)).alias("salt")).agg(F.min_by(F.struct(F.col("class").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca")), turn).alias("l")).select("shingle", "l.*")
         pairs = across.withColumnsRenamed({"class": "b", "n": "nb", "i": "ib", "comp": "cb"}).join(lead, "shingle").where((F.col("ca") != F.col("cb")) & _fits("na", "nb") & _early())
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         more = written(passing(written(passing(pairs, sketches, _as_is, _near), "near"), texts, _set_of(n), _linked), "links")
