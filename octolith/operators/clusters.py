@@ -1,16 +1,15 @@
-"""Similarity edges between nodes, components, Markov clusters, representatives, lossy and cross-level reduction."""
+"""Similarity edges between nodes, components, Markov clusters and representatives."""
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from octolith.operators.octree import SLOTS, Dag, edges, ref_counts, subtree_keys
+from octolith.operators.octree import SLOTS, Dag, edges
+from octolith.operators.order import running_mean
 from octolith.storage import cut
 
 
@@ -129,37 +128,11 @@ def markov_clusters(pairs: DataFrame, inflation: float = 2.0, most: int = 2000)
     return out
 
 
-def _renamed(d: Dag, level: int, to: DataFrame) -> Dag:
-    """The nodes of one level replaced as in `to` (node_id, new), pointers and cells rewritten, and levels above made anew."""
-    to = cut(to, "to")
-    nodes = d.nodes.where(F.col("level") > level).unionByName(d.nodes.where(F.col("level") == level).join(to.where("node_id <> new"), "node_id", "left_anti"))
-    cell = d.cells.where(F.col("level") == level).join(to, "node_id", "left").select("level", "key", F.coalesce("new", "node_id").alias("node_id"))
-    cells = d.cells.where(F.col("level") > level).unionByName(cell)
-    at = (F.col("key") % 8).cast("int")
-    for up in range(level - 1, -1, -1):
-        cell = cut(cell, "cells")
-        child = [F.coalesce(F.max(F.when(at == i, F.col("node_id"))), F.lit(-1)).alias(c) for i, c in enumerate(SLOTS)]
-        mask = F.bit_or(F.expr("shiftleft(1, cast(key % 8 as int))")).cast("int").alias("child_mask")
-        rows = cut(cell.groupBy((F.col("key") / 8).cast("long").alias("key")).agg(mask, *child), "children")
-        own = cut(rows.groupBy("child_mask", *SLOTS).agg(F.min("key").alias("node_id")), "nodes")
-        cell = rows.join(own, ["child_mask", *SLOTS]).select(F.lit(up).alias("level"), "key", "node_id")
-        nodes = nodes.unionByName(own.select(F.lit(up).alias("level"), "node_id", "child_mask", *SLOTS))
-        cells = cells.unionByName(cell)
-    return replace(d, nodes=cut(nodes, "nodes"), cells=cut(cells, "cells"))
-
-
 def lossy(d: Dag, inflation: float = 2.0, most_refs: int = 1) -> tuple[Dag, DataFrame]:
-    """Nodes of the last level but one that differ in one voxel, clustered and replaced by their representatives.
+    """merging.lossy_dag without its losses."""
+    from octolith.operators.merging import lossy_dag
 
-    Only nodes with at most `most_refs` ways from the root change. Also returns (node_id, new) of those replaced.
-    """
-    level = d.levels - 2
-    rare = ref_counts(d).where((F.col("level") == level) & (F.col("paths") <= most_refs)).select("node_id")
-    pairs = cut(hamming1_pairs(cut(leaf_keys(d).join(rare, "node_id"), "keys")).withColumn("weight", F.lit(1.0)), "pairs")
-    found = cut(markov_clusters(pairs, inflation), "clusters")
-    rep = representatives(pairs, found).select("cluster", F.col("node_id").alias("new"))
-    to = cut(found.join(rep, "cluster").where("node_id <> new").select("node_id", "new"), "to")
-    return _renamed(d, level, to), to
+    return lossy_dag(d, inflation, most_refs=most_refs)[:2]
 
 
 def subtree_diff(d: Dag, pairs: DataFrame, level: int) -> DataFrame:
@@ -179,30 +152,11 @@ def subtree_diff(d: Dag, pairs: DataFrame, level: int) -> DataFrame:
     return pairs.select("a", "b").join(diff, ["a", "b"], "left").select("a", "b", F.coalesce("diff", F.lit(0)).cast("long").alias("diff"))
 
 
-def cross_level_matches(d: Dag) -> DataFrame:
-    """level, node_id, to_level, to_id: nodes whose whole sub-tree is the top of one at a higher level (1 or below).
-
-    The highest level wins, then the smallest id; descendants of a matched node are matched through it and left out only
-    if nothing else points to them, which `reachable` of the caller shows.
-    """
-    found = None
-    for level in range(2, d.levels):
-        depth = d.levels - 1 - level
-        names = cut(subtree_keys(d, depth), "names")
-        a = names.where(F.col("level") == level).select("node_id", "subtree")
-        b = names.where((F.col("level") >= 1) & (F.col("level") < level)).select(F.col("level").alias("to_level"), F.col("node_id").alias("to_id"), "subtree")
-        m = a.join(b, "subtree").groupBy("node_id").agg(F.min(F.struct("to_level", "to_id")).alias("t")).select(F.lit(level).alias("level"), "node_id", "t.to_level", "t.to_id")
-        found = m if found is None else found.unionByName(m)
-    return cut(found, "matches")
-
-
 def size_histogram(clusters: DataFrame, width: int = 5, bins: int = 16) -> DataFrame:
     n = clusters.groupBy("component").agg(F.count("*").alias("n"))
     return n.groupBy(F.least(F.floor(F.col("n") / width), F.lit(bins - 1)).cast("long").alias("bin")).agg(F.count("*").alias("components"))
 
 
 def smoothed(keys: DataFrame, columns: list[str], n: int) -> DataFrame:
-    """Walkthrough keys averaged over n consecutive ones; only complete frames. Buckets of keys carry their next n - 1."""
-    w = Window.orderBy("key_idx").rowsBetween(Window.currentRow, n - 1)
-    rows = keys.select("key_idx", *(F.avg(c).over(w).alias(c) for c in columns), F.count("*").over(w).alias("k"))
-    return rows.where(F.col("k") == n).drop("k")
+    """Walkthrough keys (key_idx without gaps) averaged over n consecutive ones; only complete frames."""
+    return running_mean(keys, "key_idx", columns, n)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from octolith.functions.morton import bit, bits, interleave, prefix, slot
+from octolith.operators.order import running_sum
 from octolith.storage import cut
 
 SLOTS = [f"c{i}" for i in range(8)]
@@ -142,7 +143,8 @@ def sdag(voxels: DataFrame, levels: int) -> DataFrame:
                 ref = [F.when(r < 0, r).otherwise(r - r % 8 + _least_mirror((r % 8).cast("int").bitwiseXOR(F.lit(g)), F.col(f"s{i ^ g}"))) for i, r in enumerate(ref)]
             variants.append(F.array(*ref))
         rows = cut(rows.select("key", *(v.alias(f"v{g}") for g, v in enumerate(variants))), "variants")
-        best = F.least(*(F.struct(F.col(f"v{g}").alias("refs"), F.lit(g).alias("mirror")) for g in range(8)))
+        # Nothing tells the root's mirror, so it stays as it is.
+        best = F.least(*(F.struct(F.col(f"v{g}").alias("refs"), F.lit(g).alias("mirror")) for g in range(8))) if level else F.struct(F.col("v0").alias("refs"), F.lit(0).alias("mirror"))
         keep = F.lit(0)
         for g in range(8):
             keep = keep + F.when(F.col(f"v{g}") == F.col("v0"), F.lit(1 << g)).otherwise(0)
@@ -171,14 +173,9 @@ def subtree_keys(d: Dag, depth: int) -> DataFrame:
 
 def svdag_addresses(d: Dag) -> DataFrame:
     """level, node_id, size in words, address: level by level in the order of node_id."""
-    from pyspark.sql.window import Window
-
     size = F.when(F.col("level") == d.levels - 1, F.lit(1).cast("long")).otherwise(1 + bits(F.col("child_mask")))
     rows = d.nodes.select("level", "node_id", "child_mask", size.alias("size"))
-    per = rows.groupBy("level").agg(F.sum("size").alias("total"))
-    start = per.select("level", F.coalesce(F.sum("total").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # `levels` rows
-    within = F.sum("size").over(Window.partitionBy("level").orderBy("node_id"))
-    return rows.withColumn("within", within).join(F.broadcast(start), "level").select("level", "node_id", "child_mask", "size", (F.col("start") + F.col("within") - F.col("size")).alias("address"))
+    return running_sum(rows, ["level", "node_id"], "size", "address").select("level", "node_id", "child_mask", "size", "address")
 
 
 def svdag_words(d: Dag) -> DataFrame:

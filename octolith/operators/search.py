@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from octolith.functions.morton import axis_of, interleave, prefix
-from octolith.operators.clusters import components
+from octolith.functions.morton import axis_of, prefix
+from octolith.operators.hidden import outside_cells, voxels_of
+from octolith.operators.octree import svo
 from octolith.storage import cut
 
 
@@ -24,6 +25,12 @@ def locate(points: DataFrame, tree: DataFrame, levels: int) -> DataFrame:
     return out
 
 
+def centres(voxels: DataFrame, levels: int, box: list[tuple[float, float]]) -> DataFrame:
+    """morton, x, y, z: the middle of each voxel of a grid over a box."""
+    n = 1 << levels
+    return voxels.select("morton", *((F.lit(lo) + F.lit(hi - lo) * (axis_of(F.col("morton"), a, levels) + 0.5) / n).alias(c) for a, (c, (lo, hi)) in enumerate(zip("xyz", box))))
+
+
 def slab(o: list[Column], d: list[Column], low: list[Column], size: Column) -> tuple[Column, Column]:
     """Where a ray enters and leaves a cube. Zero directions are nudged, so every axis has a slope."""
     near, far = [], []
@@ -40,7 +47,7 @@ def cast_rays(rays: DataFrame, voxels: DataFrame, levels: int) -> DataFrame:
     o, d = [F.col(c) for c in ("ox", "oy", "oz")], [F.col(c) for c in ("dx", "dy", "dz")]
     front = rays.select("ray_id", "ox", "oy", "oz", "dx", "dy", "dz", F.lit(0).cast("long").alias("key"))
     for level in range(1, levels + 1):
-        cells = voxels.select(prefix(F.col("morton"), levels - level).alias("cell")).distinct().select((F.col("cell").bitwiseAND(F.lit(~7).cast("long")) / 8).cast("long").alias("key"), "cell")
+        cells = voxels.select(prefix(F.col("morton"), levels - level).alias("cell")).distinct().select(prefix(F.col("cell"), 1).alias("key"), "cell")
         size = F.lit(float(1 << (levels - level)))
         low = [axis_of(F.col("cell"), a, level).cast("double") * size for a in range(3)]
         near, far = slab(o, d, low, size)
@@ -51,32 +58,9 @@ def cast_rays(rays: DataFrame, voxels: DataFrame, levels: int) -> DataFrame:
     return front.groupBy("ray_id").agg(F.min(F.struct(F.round("t", 6).alias("t"), F.col("key"))).alias("h")).select("ray_id", F.col("h.t").alias("t"), F.col("h.key").alias("morton"))
 
 
-def neighbours(cells: DataFrame, levels: int) -> DataFrame:
-    """(key, near): the face neighbours of each key inside the grid."""
-    x = [axis_of(F.col("key"), a, levels) for a in range(3)]
-    steps = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
-    n = (1 << levels) - 1
-    to = []
-    for s in steps:
-        p = [c + F.lit(v) for c, v in zip(x, s)]
-        inside = F.lit(True)
-        for c in p:
-            inside = inside & c.between(0, n)
-        to.append(F.when(inside, interleave(*p, levels)))
-    return cells.select("key", F.explode(F.array(*to)).alias("near")).where("near IS NOT NULL")
-
-
 def flood_outside(voxels: DataFrame, levels: int) -> DataFrame:
-    """Empty cells that faces lead to from the highest corner: those in the corner's component of empty cells.
-
-    Components take as many rounds as the logarithm of the longest way, where a frontier would take one a step.
-    """
-    top = (1 << 3 * levels) - 1
-    empty = cut(voxels.sparkSession.range(1 << 3 * levels).select(F.col("id").alias("key")).join(voxels.select(F.col("morton").alias("key")), "key", "left_anti"), "empty")
-    pairs = neighbours(empty, levels).where("key > near").join(empty.select(F.col("key").alias("near")), "near").select(F.col("key").alias("src"), F.col("near").alias("dst"))
-    label = components(pairs)
-    corner = label.where(F.col("node_id") == top).select("component")
-    return label.join(corner, "component").select(F.col("node_id").alias("key")).union(empty.where(F.col("key") == top)).distinct()
+    """Keys of the empty cells that faces lead to from the highest corner."""
+    return voxels_of(outside_cells(cut(svo(voxels, levels), "svo"), levels), levels)
 
 
 def tri_box_overlap(rows: DataFrame, center: list[Column], half: Column) -> DataFrame:

@@ -11,6 +11,7 @@ from octolith.functions.morton import axis_of, bits, canonical_mask, interleave,
 from octolith.operators import clusters as C
 from octolith.operators import octree as O
 from octolith.operators import search as S
+from octolith.operators import viewer as V
 from octolith.sources import meshes, tables
 from octolith.storage import cut
 
@@ -195,11 +196,6 @@ def leaf_orbits(spark, sf):
     return O.svo(voxels(spark, sf), LEVELS).where(F.col("level") == LEVELS - 1).groupBy(canonical_mask(F.col("child_mask")).alias("orbit")).agg(F.count("*").alias("leaves"))
 
 
-@query()
-def sdag_levels(spark, sf):
-    return O.sdag(voxels(spark, sf), LEVELS).groupBy("level").agg(F.count("*").alias("sdag_nodes"))
-
-
 @query(f"WITH {VOX} SELECT morton FROM vox")
 def expand_dag(spark, sf):
     return O.expand(pl_dag(spark, sf))
@@ -346,7 +342,7 @@ def subtree_hash_groups(spark, sf):
     return names.groupBy("subtree").agg(F.count("*").alias("same")).groupBy("same").agg(F.count("*").alias("keys"))
 
 
-@query(f"WITH {KEYS} SELECT a.node_id AS a, b.node_id AS b, ({' + '.join(f'bit_count(xor(a.w{i}, b.w{i}))' for i in range(8))})::BIGINT AS diff FROM k a, k b WHERE a.node_id < b.node_id AND a.node_id < 4000 AND b.node_id < 4000")
+@query(f"WITH {KEYS} SELECT a.node_id AS a, b.node_id AS b, ({' + '.join(f'bit_count(xor(a.w{i}, b.w{i}))' for i in range(8))})::BIGINT AS diff FROM k a, k b WHERE a.node_id < b.node_id")
 def subtree_diff(spark, sf):
     d = pl_dag(spark, sf)
     ids = d.nodes.where(F.col("level") == LEVELS - 2).select("node_id")
@@ -354,17 +350,6 @@ def subtree_diff(spark, sf):
     return C.subtree_diff(d, pairs, LEVELS - 2)
 
 
-@query()
-def lossy_levels(spark, sf):
-    d, _ = C.lossy(pl_dag(spark, sf))
-    return d.nodes.groupBy("level").agg(F.count("*").alias("nodes"))
-
-
-@query()
-def cross_level_matches(spark, sf):
-    return C.cross_level_matches(pl_dag(spark, sf))
-
-
 # ---- geometry ----
 
 
@@ -409,7 +394,7 @@ def _sat(c: list[str], half: str) -> str:
     return " AND ".join(out)
 
 
-@query(f"""WITH t AS (SELECT vec_id AS tri_id, {", ".join(f"(embedding[{i + 1}]::DOUBLE + 1) * 4 AS {chr(34)}{n}{chr(34)}" for i, n in enumerate(_TE))} FROM embeddings WHERE vec_id < 200),
+@query(f"""WITH t AS (SELECT vec_id AS tri_id, {", ".join(f"(embedding[{i + 1}]::DOUBLE + 1) * 4 AS {chr(34)}{n}{chr(34)}" for i, n in enumerate(_TE))} FROM embeddings),
 cell AS (SELECT i AS morton, {", ".join(f"{_axis('i', k, 3)} + 0.5 AS m{a}" for k, a in enumerate("xyz"))} FROM range(512) g(i))
 SELECT tri_id, morton::BIGINT AS morton FROM t, cell WHERE {_sat(["mx", "my", "mz"], "0.5")}""")
 def voxelize_triangles(spark, sf):
@@ -421,8 +406,7 @@ def voxelize_triangles(spark, sf):
 UNION ALL SELECT i, base, n // base, f / base, r + f * (n % base) FROM h WHERE n > 0) SELECT i::BIGINT AS i, base::INT AS base, round(r, 6) AS r FROM h WHERE n = 0""".replace("1.0 / b", "1.0::DOUBLE / b"))
 def halton(spark, sf):
     rows = spark.range(1, 257).select(F.col("id").alias("i"), F.explode(F.array(*(F.lit(b) for b in (2, 3, 5)))).alias("base"))
-    digits = F.expr("aggregate(sequence(0, 9), named_struct('n', i, 'f', cast(1 as double) / base, 'r', cast(0 as double)), (s, k) -> named_struct('n', s.n div base, 'f', s.f / base, 'r', s.r + s.f * (s.n % base)))")
-    return rows.select("i", "base", F.round(digits["r"], 6).alias("r"))
+    return rows.select("i", "base", F.round(V.halton(F.col("i"), F.col("base")), 6).alias("r"))
 
 
 @query("SELECT event_id AS key_idx, round(avg(value) OVER w, 6) AS value FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) QUALIFY count(*) OVER w = 15")
@@ -456,4 +440,7 @@ def tri_soup(spark, sf):
 def mtl_forward_fill(spark, sf):
     t = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id")
     two = F.array(F.struct((F.col("vec_id") * 2).alias("line_no"), F.concat(F.lit("newmtl m"), F.col("vec_id").cast("string")).alias("value")), F.struct((F.col("vec_id") * 2 + 1).alias("line_no"), F.concat(F.lit("Ns "), F.col("vec_id").cast("string")).alias("value")))
-    return meshes.parse_mtl(t.select(F.explode(two).alias("l")).select("l.line_no", "l.value"))
+    return meshes.parse_mtl(t.select(F.explode(two).alias("l")).select("l.line_no", "l.value")).drop("line_no")
+
+
+from octolith.plans import more  # noqa: E402, F401  its queries join these

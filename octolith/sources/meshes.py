@@ -6,7 +6,8 @@ import struct
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from octolith.operators.order import carried, running_sum
 
 EDGES = "src long, dst long, weight float"
 
@@ -18,9 +19,10 @@ def parse_obj(lines: DataFrame, strict_quads: bool = True) -> tuple[DataFrame, D
     quad gives two triangles; with strict_quads=False only the first. Other lines are skipped.
     """
     rows = lines.select("line_no", F.split(F.trim("value"), r"\s+").alias("w"))
-    order = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kind = F.col("w")[0]
-    rows = rows.where(kind.isin("v", "f", "usemtl")).withColumn("v", F.sum(F.when(kind == "v", 1).otherwise(0)).over(order)).withColumn("material", F.last(F.when(kind == "usemtl", F.col("w")[1]), ignorenulls=True).over(order))
+    rows = rows.where(kind.isin("v", "f", "usemtl")).withColumn("own", F.when(kind == "v", 1).otherwise(0).cast("long"))
+    rows = running_sum(rows, ["line_no"], "own", "v").withColumn("v", F.col("v") + F.col("own"))
+    rows = carried(rows, "line_no", F.when(kind == "usemtl", F.get("w", F.lit(1))), "material")
     vertices = rows.where(kind == "v").select("v", *(F.col("w")[i + 1].cast("double").alias(a) for i, a in enumerate("xyz")))
     index = F.transform(F.slice("w", 2, 8), lambda t: F.split(t, "/")[0].cast("long"))
     index = F.transform(index, lambda i: F.when(i < 0, F.col("v") + 1 + i).otherwise(i))
@@ -40,11 +42,25 @@ def triangle_soup(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def parse_mtl(lines: DataFrame) -> DataFrame:
-    """name, key, value rows of an MTL text: a property belongs to the last `newmtl` before it."""
-    order = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """line_no, name, property, value rows of an MTL text: a property belongs to the last `newmtl` before it."""
     rows = lines.select("line_no", F.split(F.trim("value"), r"\s+", 2).alias("w"))
-    rows = rows.withColumn("name", F.last(F.when(F.col("w")[0] == "newmtl", F.get("w", F.lit(1))), ignorenulls=True).over(order))
-    return rows.where(F.col("w")[0].isin("Ka", "Kd", "Ks", "Ns", "d", "Ts")).select("name", F.col("w")[0].alias("property"), F.col("w")[1].alias("value"))
+    rows = carried(rows, "line_no", F.when(F.col("w")[0] == "newmtl", F.get("w", F.lit(1))), "name")
+    return rows.where(F.col("w")[0].isin("Ka", "Kd", "Ks", "Ns", "d", "Ts")).select("line_no", "name", F.col("w")[0].alias("property"), F.col("w")[1].alias("value"))
+
+
+def materials(properties: DataFrame) -> DataFrame:
+    """A row a material of parse_mtl's rows: name, ambient, diffuse and specular colour, exponent, opacity; the last of each counts."""
+    value = lambda *keys: F.max_by(F.when(F.col("property").isin(*keys), F.col("value")), F.when(F.col("property").isin(*keys), F.col("line_no")))
+    colour = lambda c: F.transform(F.slice(F.split(c, r"\s+"), 1, 3), lambda x: x.cast("float"))
+    out = properties.groupBy("name").agg(*(value(*k).alias(n) for n, k in (("ambient", ["Ka"]), ("diffuse", ["Kd"]), ("specular", ["Ks"]), ("exponent", ["Ns"]), ("opacity", ["d", "Ts"]))))
+    return out.select("name", *(colour(F.col(c)).alias(c) for c in ("ambient", "diffuse", "specular")), F.col("exponent").cast("float").alias("exponent"), F.col("opacity").cast("float").alias("opacity"))
+
+
+def normals(soup: DataFrame) -> DataFrame:
+    """line_no, part and the normal of each face of triangle_soup's rows: the cross product of its sides, not of length 1."""
+    u, v = [[F.col(f"{c}{a}") - F.col(f"a{a}") for a in "xyz"] for c in "bc"]
+    cross = [u[(i + 1) % 3] * v[(i + 2) % 3] - u[(i + 2) % 3] * v[(i + 1) % 3] for i in range(3)]
+    return soup.select("line_no", "part", *(c.alias(f"n{a}") for c, a in zip(cross, "xyz")))
 
 
 def parse_walkthrough(lines: DataFrame) -> DataFrame:
@@ -61,6 +77,19 @@ def write_edges(edges: DataFrame, path: str) -> None:
     edges.select("src", "dst", "weight").write.csv(path, sep=" ")
 
 
+def read_clusters(spark, path: str) -> DataFrame:
+    """cluster (its first id), node_id of a text with a cluster's ids a line, parted by tabs."""
+    ids = F.transform(F.split(F.trim("value"), r"\t"), lambda x: x.cast("long"))
+    return spark.read.text(path).where("trim(value) <> ''").select(ids.alias("ids")).select(F.col("ids")[0].alias("cluster"), F.explode("ids").alias("node_id"))
+
+
+def write_walkthrough(keys: DataFrame, header: str, path: str) -> None:
+    """Keys (key_idx, px..tz) as text after a header line, in their order."""
+    value = F.concat_ws(" ", *(F.col(c).cast("string") for c in ("px", "py", "pz", "tx", "ty", "tz")))
+    first = keys.sparkSession.range(1).select(F.lit(-1).cast("long").alias("key_idx"), F.lit(header).alias("value"))
+    first.unionByName(keys.select("key_idx", value.alias("value"))).repartitionByRange("key_idx").sortWithinPartitions("key_idx").select("value").write.text(path)
+
+
 def svdag_bytes(box: list[float], side: float, levels: int, nodes: int, first_leaf: int, words: list[int]) -> bytes:
     """A DAG file: bounding box, side, levels, nodes, first leaf, number of words, words (little-endian)."""
     return struct.pack(f"<7f4I{len(words)}I", *box, side, levels, nodes, first_leaf, len(words), *words)
