@@ -4,6 +4,8 @@ The benchmark's windows go to the scan in blocks of at most `block` windows, eac
 what is broadcast is bounded whatever the benchmark's size; a larger benchmark takes more scans of the text.
 Hits on the 64-bit hash are verified against the window's words.
 
+With several blocks rows are told apart by their place in the scan, so `docs` has to be a scan of stored tables then.
+
 Cases: a null text or one without words has no hits. An item with fewer words than a window is one window; an
 item without words is none. Items with a null item_id count as one item without a name in items_sha256. Repeated documents are reported each; repeated items once.
 An empty benchmark leaves every document clean. Other columns are ignored.
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,19 +111,22 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, block
     spark = docs.sparkSession
     grams = written(item_windows(benchmark, n), "grams")
     blocks = max(1, -(-grams.count() // block))
-    scans = []
-    for k in range(blocks):
+
+    def scan(k: int) -> tuple[DataFrame, Broadcast]:
         rows = grams.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == k).collect()
         tables = spark.sparkContext.broadcast(_tables(rows))
-        scans.append(texts_only(docs).mapInArrow(_scan(tables), HITS))
+        return texts_only(docs).mapInArrow(_scan(tables), HITS), tables
+
     if blocks == 1:
-        return scans[0]
-    # Every scan reads the same rows in the same order, so a row's number ties its hits together.
+        return scan(0)[0]
+    # Every scan reads the same rows in the same order, so a row's number ties its hits together. One block is held at a time.
     tied = None
-    for s in scans:
-        s = s.withColumn("row", F.monotonically_increasing_id())
-        tied = s if tied is None else tied.unionByName(s)
-    each = written(tied, "hits").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("from_word", "to_word")))).alias("runs"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    for k in range(blocks):
+        hits, tables = scan(k)
+        hits = written(hits.withColumn("row", F.monotonically_increasing_id()), "hits")
+        tables.destroy()
+        tied = hits if tied is None else tied.unionByName(hits)
+    each = tied.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("from_word", "to_word")))).alias("runs"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     join = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["to_word"] >= x["from_word"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["from_word"].alias("from_word"), F.greatest(F.element_at(acc, -1)["to_word"], x["to_word"]).alias("to_word"))))).otherwise(F.concat(acc, F.array(x)))
     merged = each.withColumn("runs", F.aggregate("runs", F.array().cast("array<struct<from_word:int,to_word:int>>"), join))
     return merged.select("doc_id", "n_words", F.col("runs.from_word").alias("from_word"), F.col("runs.to_word").alias("to_word"), "items")
