@@ -60,8 +60,11 @@ def drop(*tables: DataFrame) -> None:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs and `__row`, a number of its own for each row, whatever its doc_id; a written table, so it stays the same."""
-    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    """docs and `__row`, a number of its own for each row, whatever its doc_id: its place in the scan.
+
+    docs has to be a scan of stored tables, as the stages of the pipeline get it, so that each read gives the same numbers.
+    """
+    return docs.withColumn("__row", F.monotonically_increasing_id())
 
 
 def by_row(rows: DataFrame) -> DataFrame:
