@@ -33,7 +33,8 @@ from octolith.llm.common import parts, raw, release, text_slices, texts_only, wr
 from octolith.llm.words import _P, _P_INV, _power, mix
 
 GRAM = 32
-FLUSH = 1_500_000
+#: Pieces that a task gathers before it sends them on: some 100 bytes each while they are sorted.
+FLUSH = 100_000
 COLLECTION = 2_000
 LAST = 2**63 - 1  # a null doc_id in the order
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
